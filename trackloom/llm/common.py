@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: White space for words; everything else belongs to a word.
 SPACES = " \t\n\x0b\f\r"
-SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,9 +19,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text in order; none for a null or blank text."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS))
+    """The words of a text in order; none for a null or blank text. Splitting at one plain
+    character is several times faster than at a pattern, so the pattern is left to texts
+    with runs of white space."""
+    flat = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    cut = lambda t: F.when(t == "", F.array().cast("array<string>")).when(F.contains(t, F.lit("  ")), F.split(t, " +")).otherwise(F.split(t, " "))
+    return let(F.btrim(flat), cut)
 
 
 def free_name(df: DataFrame, *stems: str) -> list[str]:

@@ -56,21 +56,23 @@ def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
 
 def _repeated(w: Column) -> Column:
     """Words that lie in a 3-word window found twice or more. Windows are compared by a
-    64-bit hash within one document; start positions are found by sorting."""
+    64-bit hash within one document. Sorting shows the hashes that occur twice; if they are
+    few, each window is looked up among them, else hashes are sorted with their positions."""
 
-    def starts(hashes: Column) -> Column:
-        keyed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def starts(hashes: Column, twins: Column) -> Column:
         same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
-        twins = let(keyed, lambda s: F.filter(s, lambda x, k: same(F.get(s, k + 1), x) | same(F.get(s, k - 1), x)))
-        return F.sort_array(F.transform(twins, lambda x: x["i"]))
+        keyed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        many = let(keyed, lambda s: F.filter(s, lambda x, k: same(F.get(s, k + 1), x) | same(F.get(s, k - 1), x)))
+        few = F.array_compact(F.transform(hashes, lambda h, i: F.when(F.array_contains(twins, h), i)))
+        return F.when(F.size(twins) <= 64, few).otherwise(F.sort_array(F.transform(many, lambda x: x["i"])))
 
     def covered(p: Column) -> Column:
         each = F.transform(p, lambda s, k: F.coalesce(F.least(F.lit(3), F.get(p, k + 1) - s), F.lit(3)))
         return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def count(hashes: Column) -> Column:
-        twins = let(F.sort_array(hashes), lambda s: F.array_contains(F.transform(s, lambda h, k: F.get(s, k + 1) == h), True))
-        return F.when(twins, let(starts(hashes), covered)).otherwise(F.lit(0).cast("long"))
+        twins = let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, k: F.coalesce(F.get(s, k + 1) == h, F.lit(False)))))
+        return let(twins, lambda t: F.when(F.size(t) == 0, F.lit(0).cast("long")).otherwise(let(starts(hashes, t), covered)))
 
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(windows, count))
