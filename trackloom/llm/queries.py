@@ -20,7 +20,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import simhash_dedup as q
+
+    found = q.near_duplicates(_docs(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
+    "op7_simhash": op7_simhash,
     "op5_quality_rules": op5_quality_rules,
 }
 
