@@ -40,7 +40,28 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.pseudonyms(_docs(spark, sf_dir), key=q.DEMO_KEY)
 
 
+def op4_arrow_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trackloom.llm import token_output as q
+    from trackloom.llm.common import fresh_path
+
+    shards = q.write_sequences(_docs(spark, sf_dir), fresh_path(spark, "sequences"), public_tokenizers.path("word_bpe_49k.json"))
+    return q.read_documents(shards).withColumnRenamed("id", "doc_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trackloom.llm import packing as q
+
+    _, placed = q.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return placed.select(F.col("id").alias("doc_id"), "start", F.col("length").cast("long"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op4_arrow_output": op4_arrow_output,
+    "op8_packing": op8_packing,
     "op6_decontaminate": op6_decontaminate,
     "op9_pii": op9_pii,
     "op7_simhash": op7_simhash,
