@@ -59,7 +59,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "start", F.col("length").cast("long"), "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import html_extract as q
+
+    found = q.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op2_main_text": op2_main_text,
     "op4_arrow_output": op4_arrow_output,
     "op8_packing": op8_packing,
     "op6_decontaminate": op6_decontaminate,
