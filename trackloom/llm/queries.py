@@ -66,7 +66,26 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import quality_classifier as q
+    from trackloom.llm.language_id import held_out
+
+    docs = _docs(spark, sf_dir)
+    found = q.score(docs, q.fit_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import language_id as q
+
+    docs = _docs(spark, sf_dir)
+    found = q.predict(docs, q.fit_documents(docs))
+    return found.select(F.col("id").alias("doc_id"), q.held_out("id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op10_language_id": op10_language_id,
     "op2_main_text": op2_main_text,
     "op4_arrow_output": op4_arrow_output,
     "op8_packing": op8_packing,
