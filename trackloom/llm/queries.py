@@ -83,7 +83,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), q.held_out("id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import secret_scan as q
+
+    found = q.scan(_docs(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op10_language_id": op10_language_id,
     "op2_main_text": op2_main_text,
