@@ -1,8 +1,8 @@
 """Main text of web pages as the maximum-scoring run of words and tags.
 
 A page becomes a sequence of words and tags. Each gets the weight of its class: words by where
-they stand (in an element that names itself as furniture, in an article, in a link, in a long
-or a short block), tags by name. Weights are log-odds counted on labelled pages; tags stay
+they stand (in an element that names itself as furniture, in such an element within an article,
+in an article, in links, in a long or a short block), tags by name and by being in an article. Weights are log-odds counted on labelled pages; tags stay
 negative. One linear scan finds the run with the greatest sum. The whole blocks of that run,
 without furniture inside it, are the text.
 
@@ -89,11 +89,18 @@ class Page:
         self._links: list[int] = []
         self._pending: list[str] = []
         stack: list[tuple[str, str]] = []
-        furniture = article = links = 0
+        self._open = Counter()  # open elements by kind, and links
         end = 0
+
+        def pop() -> str:
+            t, kind = stack.pop()
+            self._open[kind] -= 1
+            self._open["a"] -= t == "a"
+            return t
+
         for m in _TOKEN.finditer(source):
             if m.start() > end:
-                self._add(source[end : m.start()], links)
+                self._add(source[end : m.start()])
             end = m.end()
             tag = m["tag"]
             if not tag:
@@ -101,15 +108,10 @@ class Page:
             tag = tag.lower()
             if m["close"]:
                 if tag not in _INLINE:
-                    self._block(furniture, article)
+                    self._block()
                 if any(t == tag for t, _ in reversed(stack)):
-                    while True:
-                        t, kind = stack.pop()
-                        furniture -= kind == "furniture"
-                        article -= kind == "article"
-                        links -= t == "a"
-                        if t == tag:
-                            break
+                    while pop() != tag:
+                        pass
                 self._pending.append(f"/{tag}") if tag in _INLINE else self._tag(f"/{tag}")
                 continue
             if tag == "br":
@@ -117,49 +119,46 @@ class Page:
                 self._pending.append("br")
                 continue
             if tag not in _INLINE:
-                self._block(furniture, article)
+                self._block()
                 closes = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ())
                 while stack and (stack[-1][0] in closes or stack[-1][0] == "p" or len(stack) > 1 and stack[-1][0] in _INLINE and stack[-2][0] == "p"):
-                    t, kind = stack.pop()
-                    furniture -= kind == "furniture"
-                    article -= kind == "article"
-                    links -= t == "a"
+                    pop()
             if tag not in _VOID and not m["attrs"].rstrip().endswith("/"):
-                kind = _kind(tag, m["attrs"], article > 0)
-                if tag == "a" and links:
-                    links = 0
-                    stack = [x for x in stack if x[0] != "a"]
+                kind = _kind(tag, m["attrs"], self._open["article"] > 0)
+                if kind == "furniture" and self._open["article"] and not self._open["furniture"]:
+                    kind = "inner"
+                if kind in ("furniture", "inner") and tag in _INLINE:
+                    self._block()
                 stack.append((tag, kind))
-                if kind == "furniture" and tag in _INLINE:
-                    self._block(furniture, article)
-                furniture += kind == "furniture"
-                article += kind == "article"
-                links += tag == "a"
+                self._open[kind] += 1
+                self._open["a"] += tag == "a"
             self._pending.append(tag) if tag in _INLINE else self._tag(tag)
         if end < len(source):
-            self._add(source[end:], links)
-        self._block(furniture, article)
+            self._add(source[end:])
+        self._block()
 
-    def _add(self, text: str, links: int) -> None:
+    def _add(self, text: str) -> None:
         self._text.append(entities.unescape(text) if "&" in text else text)
-        if links:
+        if self._open["a"] > 0:
             self._links.append(len(self._text) - 1)
 
     def _tag(self, name: str) -> None:
-        self.tokens.append((f"<{name.lstrip('/')}", 1))
+        within = "in " if self._open["article"] and not self._open["furniture"] else ""
+        self.tokens.append((f"<{within}{name.lstrip('/')}", 1))
         self.at.append(-1)
 
-    def _block(self, furniture: int, article: int) -> None:
+    def _block(self) -> None:
         words = "".join(self._text).split()
         if words:
             linked = sum(len(self._text[i].split()) for i in self._links)
-            place = "furniture" if furniture else "article" if article else "links" if 2 * linked > len(words) else "long" if len(words) >= 12 else "short"
+            named = next((k for k in ("furniture", "inner", "article") if self._open[k]), None)
+            place = named or ("links" if 2 * linked > len(words) else "long" if len(words) >= 12 else "short")
             for tag in self._pending:
                 self._tag(tag)
             self.tokens.append((place, len(words)))
             self.at.append(len(self.blocks))
             self.blocks.append(" ".join(words))
-            self.shown.append(not furniture)
+            self.shown.append(place not in ("furniture", "inner"))
         else:
             for tag in self._pending:
                 self._tag(tag)
@@ -194,12 +193,7 @@ def fit(pages: Iterable[str]) -> dict[str, float]:
         marked = [i for i, b in enumerate(page.at) if b >= 0 and MARK in page.blocks[b]]
         first, last = (marked[0], marked[-1]) if marked else (0, -1)
         for i, (c, n) in enumerate(page.tokens):
-            if page.at[i] >= 0:
-                own = page.blocks[page.at[i]].count(MARK)
-                inside[c] += own
-                outside[c] += n - own
-            else:
-                (inside if first <= i <= last else outside)[c] += 1
+            (inside if first <= i <= last else outside)[c] += n
     a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
     odds = lambda c: math.log((inside[c] + 1) / a) - math.log((outside[c] + 1) / b)
     found = {c: odds(c) for c in {*inside, *outside}}
@@ -226,6 +220,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         if rng.random() < 0.3:
             body += f"<h2>{main(3)}</h2><ul>" + "".join(f"<li>{main(8)}</li>" for _ in range(3)) + "</ul>" + paragraph()
         layout = rng.randrange(4)
+        if layout < 3 and rng.random() < 0.4:
+            body += rng.choice((f'<div class="ad">{says(6)}</div>', f'<aside>{says(12)}</aside>', f'<div class="share"><a href="/s">{says(1)}</a></div>')) + paragraph()
         named = layout != 3
         nav = f"<nav><ul>{links(6)}</ul></nav>" if rng.random() < 0.5 else f"<div{' class=\"menu\"' if named else ''}><ul>{links(6)}</ul></div>"
         extra = [f'<div class="ad">{says(9)}</div>', f'<aside><h3>{says(2)}</h3><ul>{links(4)}</ul></aside>', f'<div class="cookie-notice">{says(14)}<button>{says(1)}</button></div>'] if named else [f"<div><ul>{links(5)}</ul></div>"]
