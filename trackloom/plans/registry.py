@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from trackloom.plans import catalog, q_geometry, q_sequence  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(catalog.SQL)
