@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
+from trackloom.functions import scalars as sc
 from trackloom.operators import joins as jn
 from trackloom.operators import observations as ob
 from trackloom.operators import visits as vi
@@ -267,11 +268,10 @@ def path_of(spark, sf):
     return seen(spark, sf).where("gid = 7").orderBy("us_start", "camera").limit(200).select("camera", "us_start")
 
 
-@query("top05_best_display", f"WITH {BOXES}, d AS (SELECT camera, gid, event_id, round(0.45 * greatest(0, 1 - abs((y2 - y1) / (x2 - x1) - 2.75) / 2.75) + 0.35 * least(1, (y2 - y1) / 300) + 0.2 * quality, 4) AS score FROM b) SELECT camera, gid, first(event_id ORDER BY score DESC, event_id) AS best, max(score) AS score FROM d GROUP BY camera, gid")
+@query("top05_best_display", f"WITH {BOXES}, d AS (SELECT camera, gid, event_id, round(0.45 * CASE WHEN (y2 - y1) / (x2 - x1) BETWEEN 2.0 AND 3.5 THEN 1.0 ELSE greatest(0, 1 - abs((y2 - y1) / (x2 - x1) - 2.75) / 2.75) END + 0.35 * least(1, (y2 - y1) / 300) + 0.2 * quality, 4) AS score FROM b) SELECT camera, gid, first(event_id ORDER BY score DESC, event_id) AS best, max(score) AS score FROM d GROUP BY camera, gid")
 def best_display(spark, sf):
     h, w = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
-    score = F.round(0.45 * F.greatest(F.lit(0.0), 1 - F.abs(h / w - 2.75) / 2.75) + 0.35 * F.least(F.lit(1.0), h / 300) + 0.2 * F.col("quality"), 4)
-    rows = boxed(spark, sf).select("camera", "gid", "event_id", score.alias("score"))
+    rows = boxed(spark, sf).select("camera", "gid", "event_id", sc.display_score(h, w, F.col("quality")).alias("score"))
     return rows.groupBy("camera", "gid").agg(F.min_by("event_id", F.struct(-F.col("score"), F.col("event_id"))).alias("best"), F.max("score").alias("score"))
 
 
