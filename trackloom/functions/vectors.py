@@ -113,3 +113,30 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, id_col: str = "vec_i
     met = q.crossJoin(g).mapInArrow(run, "query bigint, id bigint, sim double")  # of blocks, not of rows
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def best_per_group(queries: DataFrame, gallery: DataFrame, group_col: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query, group, sim): the greatest dot product of each query with each group, its own row
+    left out. A block gives one row for each query and group in it."""
+    q = _blocks(queries, id_col, vec_col, "q")
+    tagged = gallery.withColumn("__v", F.array_append(F.col(vec_col).cast("array<double>"), F.col(group_col).cast("double")))
+    g = _blocks(tagged, id_col, "__v", "g")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                qi, gi = np.array(row["q_ids"], np.int64), np.array(row["g_ids"], np.int64)
+                m = np.frombuffer(row["g_m"]).reshape(len(gi), -1)
+                groups, of = np.unique(m[:, -1].astype(np.int64), return_inverse=True)
+                s = np.frombuffer(row["q_m"]).reshape(len(qi), -1) @ m[:, :-1].T
+                s[qi[:, None] == gi[None, :]] = -np.inf
+                best = np.full((len(groups), len(qi)), -np.inf)
+                np.maximum.at(best, of, s.T)
+                keep = np.isfinite(best.T)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep.sum(1))), pa.array(np.broadcast_to(groups, keep.shape)[keep]), pa.array(best.T[keep])], ["query", "group", "sim"])
+
+    met = q.crossJoin(g).mapInArrow(run, "query bigint, group bigint, sim double")  # of blocks, not of rows
+    return met.groupBy("query", "group").agg(F.max("sim").alias("sim"))

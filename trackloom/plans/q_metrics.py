@@ -220,7 +220,7 @@ def reciprocal(spark, sf):
 @query("top07_best_per_identity", f"{_Q}, m AS (SELECT query, label, max(sim) AS sim FROM n GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, label) AS rank FROM m) SELECT query, label, rank FROM r WHERE rank <= 3")
 def best_per_identity(spark, sf):
     e = table(spark, sf, "embeddings")
-    m = with_labels(spark, sf, ve.nearest(e.where("vec_id % 20 = 0"), e, e.count())).groupBy("query", "label").agg(F.max("sim").alias("sim"))
+    m = ve.best_per_group(e.where("vec_id % 20 = 0"), e, "label").withColumnRenamed("group", "label")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "label"))
     return m.select("query", "label", rank.alias("rank")).where("rank <= 3")
 
@@ -294,7 +294,7 @@ def name_vote(spark, sf):
 @query("idn31_identify_margin", f"{_Q}, m AS (SELECT query, label, max(sim) AS s FROM n GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, label) AS r FROM m), t AS (SELECT query, max(label) FILTER (r = 1) AS who, max(s) FILTER (r = 1) AS a, max(s) FILTER (r = 2) AS b FROM r GROUP BY query) SELECT query, CASE WHEN a >= 0.3 AND (b IS NULL OR a - b >= 0.01) THEN who END AS who, CASE WHEN a < 0.3 THEN 'too far' WHEN b IS NOT NULL AND a - b < 0.01 THEN 'too close' ELSE 'ok' END AS reason FROM t")
 def identify(spark, sf):
     e = table(spark, sf, "embeddings")
-    m = with_labels(spark, sf, ve.nearest(e.where("vec_id % 20 = 0"), e, e.count())).groupBy("query", "label").agg(F.max("sim").alias("s"))
+    m = ve.best_per_group(e.where("vec_id % 20 = 0"), e, "label").select("query", F.col("group").alias("label"), F.col("sim").alias("s"))
     r = m.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "label")))
     at = lambda c, i: F.max(F.when(F.col("r") == i, F.col(c)))
     t = r.groupBy("query").agg(at("label", 1).alias("who"), at("s", 1).alias("a"), at("s", 2).alias("b"))
