@@ -153,3 +153,24 @@ def test_versions(spark, tmp_path):
 def test_names(spark):
     df = spark.createDataFrame([("a..b c!",), (None,)], "t string")
     assert [r[0] for r in df.select(sc.safe_name(F.col("t"))).collect()] == ["a..b c_", "unnamed"]
+
+
+def test_manifests_and_plans(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.json").write_text(json.dumps({"solution_pack": "traffic", "app_id": "anpr", "requires": {"data": ["plates"]}, "hardware": {"ocr": "GPU"}}))
+    (tmp_path / "m/readme.txt").write_text("no manifest")
+    found = rd.app_manifests(spark, str(tmp_path / "m")).collect()
+    assert [(r["app_id"], r["required_data"], r["preferred_hardware"]) for r in found] == [("anpr", ["plates"], {"ocr": "GPU"})]
+    (tmp_path / "m/b.json").write_text((tmp_path / "m/a.json").read_text())
+    with pytest.raises(ValueError):
+        rd.app_manifests(spark, str(tmp_path / "m"))
+    (tmp_path / "p.json").write_text(json.dumps({"solution_pack": "traffic", "cameras": [{"camera_id": "c", "nodes": ["decode", "detect"]}]}))
+    assert [(r["camera_id"], r["pos"], r["node"]) for r in rd.runtime_plan(spark, str(tmp_path / "p.json")).collect()] == [("c", 0, "decode"), ("c", 1, "detect")]
+
+
+def test_refreshing_table_follows_its_files(spark, tmp_path):
+    spark.range(2).write.parquet(f"{tmp_path}/t")
+    table = rd.Refreshing(spark, f"file://{tmp_path}/t")
+    assert table.get().count() == 2 and table.get() is table.get()
+    spark.range(3).write.mode("append").parquet(f"{tmp_path}/t")
+    assert table.get().count() == 5

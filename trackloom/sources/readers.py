@@ -127,3 +127,38 @@ class Refreshing:
         if mark != self.mark:
             self.mark, self.frame = mark, self.spark.read.parquet(self.path)
         return self.frame
+
+
+MANIFEST = "solution_pack string, app_id string, version string, required_data array<string>, required_services array<string>, models array<string>, state array<string>, preferred_hardware map<string,string>"
+
+
+def app_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each manifest of a folder, JSON or (where PyYAML is installed) YAML. Two
+    manifests of one app are an error. Configuration-sized: files are parsed on the driver."""
+    import json
+
+    rows, seen = [], set()
+    for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content").collect():
+        text = bytes(r["content"]).decode("utf-8")
+        if r["path"].endswith(".json"):
+            doc = json.loads(text)
+        elif r["path"].endswith((".yaml", ".yml")):
+            import yaml  # optional
+
+            doc = yaml.safe_load(text)
+        else:
+            continue
+        key = (doc["solution_pack"], doc["app_id"])
+        if key in seen:
+            raise ValueError(f"two manifests of {key}")
+        seen.add(key)
+        needs = doc.get("requires", {})
+        rows.append((*key, str(doc.get("version", "")), needs.get("data", []), needs.get("services", []), doc.get("models", []), doc.get("state", []), {k: str(v) for k, v in doc.get("hardware", {}).items()}))
+    return spark.createDataFrame(rows, MANIFEST)
+
+
+def runtime_plan(spark: SparkSession, path: str) -> DataFrame:
+    """Cameras and their nodes of a compiled plan in JSON."""
+    plan = spark.read.option("multiLine", True).json(path)
+    c = plan.select("solution_pack", F.explode("cameras").alias("c"))
+    return c.select("solution_pack", "c.camera_id", F.posexplode("c.nodes").alias("pos", "node"))
