@@ -30,6 +30,9 @@ def test_polygon_edges_are_half_open(spark):
     df = spark.createDataFrame([(0.5, 0.5), (0.0, 0.5), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0), (2.0, 0.5)], "x double, y double")
     assert [r[0] for r in df.select(g.in_polygon(F.col("x"), F.col("y"), square)).collect()] == [True, True, False, True, False, False]
     assert not df.select(g.in_polygon(F.col("x"), F.col("y"), g.polygon([(0, 0), (1, 1)]))).first()[0]
+    odd = [(0.1, 0.2), (0.5, 0.05), (0.9, 0.3), (0.7, 0.95), (0.2, 0.8)]
+    grid = spark.range(441).select((F.col("id") % 21 / 20).alias("x"), (F.floor(F.col("id") / 21) / 20).alias("y"))
+    assert grid.where(g.in_polygon(F.col("x"), F.col("y"), g.polygon(odd)) != g.in_fixed_polygon(F.col("x"), F.col("y"), odd)).count() == 0
 
 
 def test_homography_fit():

@@ -54,7 +54,7 @@ def sql_inside(points: list, x: str = "x", y: str = "y") -> str:
 
 
 def inside(points: list = ZONE, x: str = "x", y: str = "y"):
-    return g.in_polygon(F.col(x), F.col(y), g.polygon(points))
+    return g.in_fixed_polygon(F.col(x), F.col(y), points)
 
 
 r6 = lambda c, n: F.round(c, 6).alias(n)
