@@ -193,4 +193,5 @@ def read_documents(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                     crc = [zlib.crc32(shard.tokens(s, n).astype("<u4").tobytes()) for s, n in zip(starts, sizes)]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([base + s for s in starts], pa.int64()), part.column(2), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
-    return based.repartition(F.col("path")).mapInArrow(run, DOCUMENTS.format(id=id_type))
+    shards = max(1, manifest.count())  # a number, so that small rows aren't merged into one task
+    return based.repartition(shards).mapInArrow(run, DOCUMENTS.format(id=id_type))
