@@ -12,7 +12,7 @@ All of it is DataFrame functions: matches and the text between them are taken by
 pattern and joined again in order.
 
 Defined cases: a null text stays null with no matches; an empty text stays empty; numbers that
-fail their check stay as they are unless another kind fits; equal rows give equal rows; an
+fail their check stay as they are; equal rows give equal rows; an
 empty table gives no rows.
 """
 
@@ -154,9 +154,9 @@ def _date(m: Column, key: str, back: bool) -> Column:
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
-    valid = ~m.rlike("^(?:000|666|9)|-00-|-0000$")
-    del back
-    return F.when(valid, let(permute_digits(_digits(m), F.lit("ssn"), key), lambda d: _pour(m, d)))
+    """Going back, any nine digits may be a pseudonym."""
+    valid = F.lit(True) if back else ~m.rlike("^(?:000|666|9)|-00-|-0000$")
+    return F.when(valid, let(permute_digits(_digits(m), F.lit("ssn"), key, back), lambda d: _pour(m, d)))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
@@ -176,24 +176,19 @@ def _email(m: Column, key: str, back: bool) -> Column:
     whole = F.ceil(n / 64).cast("int")
     hexes = F.array_join(F.transform(F.sequence(F.lit(1), whole), lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i, F.lower(m)), 256)), "")
     letters, digits = F.translate(hexes, "0123456789", "ghijklmnop"), F.translate(hexes, "abcdef", "012345")
-    del back
+    if back:
+        return F.lit(None).cast("string")
     return let(_pour(local, letters, "[A-Za-z]"), lambda x: F.concat(_pour(x, digits), F.lit("@"), domain))
 
 
 _MAKE = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def replace_match(m: Column, key: str) -> Column:
-    """The pseudonym of a match; null if its check fails. Numbers of 13 to 19 digits count as
-    private even without a valid check digit if no other kind fits: they are then permuted
-    over all their digits."""
+def replace_match(m: Column, key: str, back: bool = False) -> Column:
+    """The pseudonym of a match (or what it stands for); null if its check fails."""
     found = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
-        if kind == "card":
-            plain = let(permute_digits(_digits(m), F.lit("number"), key), lambda d: _pour(m, d))
-            found = F.when(m.rlike(f"^(?:{pattern})$"), F.coalesce(_card(m, key, False), plain))
-        else:
-            found = F.when(m.rlike(f"^(?:{pattern})$"), _MAKE[kind](m, key, False)).otherwise(found)
+        found = F.when(m.rlike(f"^(?:{pattern})$"), _MAKE[kind](m, key, back)).otherwise(found)
     return found
 
 
@@ -202,13 +197,13 @@ def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), _replaced(F.col(text_col), key).alias("r")).select(id_col, F.col("r.text").alias(text_col), F.col("r.n").alias("n_private"))
 
 
-def _replaced(text: Column, key: str) -> Column:
+def _replaced(text: Column, key: str, back: bool = False) -> Column:
     def over(made: Column, found: Column) -> Column:
         parts = F.zip_with(F.split(text, ANY, -1), F.zip_with(made, found, lambda a, b: F.coalesce(a, b)), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
         n = F.size(F.filter(made, lambda x: x.isNotNull())).cast("long")
         return F.struct(F.array_join(parts, "").alias("text"), n.alias("n"))
 
-    changed = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: let(F.transform(found, lambda m: replace_match(m, key)), lambda made: over(made, found)))
+    changed = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: let(F.transform(found, lambda m: replace_match(m, key, back)), lambda made: over(made, found)))
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     return F.when(text.rlike("[0-9@]"), changed).otherwise(same)
 
@@ -216,3 +211,9 @@ def _replaced(text: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with private values of its text replaced and all columns as they were."""
     return docs.withColumn(text_col, _replaced(F.col(text_col), key)["text"])
+
+
+def originals(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with pseudonyms taken back, but for e-mail addresses. Only for texts in which
+    all values of these kinds are pseudonyms."""
+    return docs.withColumn(text_col, _replaced(F.col(text_col), key, True)["text"])
