@@ -71,9 +71,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`written` that nothing reads any more."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/trackloom/"
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/trackloom/" in path and path.split("/trackloom/")[0].split(":")[-1].lstrip("/") == root.split("/trackloom/")[0].split(":")[-1].lstrip("/"):
+        if "/trackloom/" in path:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
