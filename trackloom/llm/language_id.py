@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1500
 ORDERS = (1, 2, 3, 4)
 MIN_DOCS = 3
 SCALE = 20.0
@@ -56,19 +56,20 @@ class Model:
         """For each word: the sums of its n-grams' weights, and their number."""
         import numpy as np
 
+        from trackloom.llm.word_scores import segment_sums
+
+        if not words:
+            return np.zeros((0, len(self.languages) + 1))
         flat: list[int] = []
         sizes, totals = [], []
-        look = self.index
+        look = self.index.get
         for w in words:
-            g = grams(w)
-            known = [look[x] for x in g if x in look]
-            flat += known
-            sizes.append(len(known))
-            totals.append(len(g))
-        sums = np.zeros((len(words), len(self.languages)))
-        if flat:
-            np.add.at(sums, np.repeat(np.arange(len(words)), sizes), self.weights[flat])
-        return np.column_stack([sums, totals]) if words else sums.reshape(0, len(self.languages) + 1)
+            rows = [r for r in map(look, grams(w)) if r is not None]
+            flat += rows
+            sizes.append(len(rows))
+            totals.append(sum(max(0, len(w) + 3 - n) for n in ORDERS))
+        weights = self.weights[flat] if flat else np.zeros((0, len(self.languages)))
+        return np.column_stack([segment_sums(weights, sizes), totals])
 
     def probabilities(self, sums):
         import numpy as np

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 CHUNK_CHARS = 1_000_000
 
 
@@ -26,24 +26,24 @@ class WordSums:
     def _group(self, held: list[list[str]]) -> Iterator:
         import numpy as np
 
-        fresh = {w for ws in held for w in ws}.difference(self.known)
-        new = list(fresh)
-        rows = np.asarray(self.features(new)).reshape(len(new), self.table.shape[1])
-        n = len(self.known)
-        while len(self.table) < n + len(new):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n : n + len(new)] = rows
-        look = {w: n + i for i, w in enumerate(new)}
-        if n + len(new) <= self.cache:
-            self.known.update(look)
-            look = self.known
-            for ws in held:
-                yield self.table[[look[w] for w in ws]].sum(axis=0)
-            return
-        known = self.known
-        for ws in held:
-            yield self.table[[look[w] if w in look else known[w] for w in ws]].sum(axis=0)
-        self.table = self.table[: max(n, 1)].copy()
+        look, n = self.known.get, len(self.known)
+        fresh: dict[str, int] = {}
+        found = []
+        for words in held:
+            rows = list(map(look, words))
+            if None in rows:
+                for i, r in enumerate(rows):
+                    if r is None:
+                        rows[i] = fresh.setdefault(words[i], n + len(fresh))
+            found.append(rows)
+        if fresh:
+            while len(self.table) < n + len(fresh):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(fresh)] = np.asarray(self.features(list(fresh))).reshape(len(fresh), -1)
+        for rows in found:
+            yield self.table[rows].sum(axis=0)
+        if n + len(fresh) <= self.cache:
+            self.known.update(fresh)
 
     def sums(self, texts: Iterable[list[str]]) -> Iterator:
         """The sum of the rows of each text's words; zeros for none."""
@@ -56,3 +56,16 @@ class WordSums:
                 yield from self._group(held)
                 held, size = [], 0
         yield from self._group(held)
+
+
+def segment_sums(values, sizes):
+    """Sums of consecutive rows of ``values``, ``sizes[i]`` of them for row i."""
+    import numpy as np
+
+    sizes = np.asarray(sizes, np.int64)
+    out = np.zeros((len(sizes), *values.shape[1:]))
+    some = sizes > 0
+    if some.any():
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        out[some] = np.add.reduceat(values, starts[some], axis=0)
+    return out
