@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
 A word's vector is the mean of learned vectors of its hashed features: the word itself and its
-character n-grams of 3 to 5. A word that repeats the one before it is the word AGAIN. A
+character n-grams of 3 and 4. A word that repeats the one before it is the word AGAIN. A
 document is the mean of its words' vectors; a softmax over it gives the classes. Everything is
 trained by stochastic gradient descent in numpy on TRAIN_DOCS labelled rows at most, those of
 the least id hash, and every row is scored. As the model is linear above the vectors, scoring
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1500
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 AGAIN = "\x00again"
@@ -37,10 +37,11 @@ def features(word: str) -> list[int]:
     import zlib
 
     if word == AGAIN:
-        return [zlib.crc32(b"\x00again") % BUCKETS]
+        return [zlib.crc32(b"\x00again") & BUCKETS - 1]
     w = f"<{word}>".encode("utf-8", "surrogatepass")
     crc = zlib.crc32
-    return [crc(w) % BUCKETS, *[crc(w[i : i + n], n) % BUCKETS for n in (3, 4, 5) for i in range(len(w) - n + 1)]]
+    parts = [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+    return [h & BUCKETS - 1 for h in (crc(w), *map(crc, parts))]
 
 
 @dataclass
@@ -54,10 +55,14 @@ class Model:
 
         if not found:
             return np.zeros((0, 2))
-        each = [features(w) for w in found]
-        sizes = np.array([len(e) for e in each])
-        sums = np.add.reduceat(self.margin[np.concatenate([np.asarray(e) for e in each])], np.concatenate(([0], np.cumsum(sizes)[:-1])))
-        return np.column_stack([sums / sizes, np.ones(len(found))])
+        flat: list[int] = []
+        sizes = []
+        for w in found:
+            own = features(w)
+            flat += own
+            sizes.append(len(own))
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        return np.column_stack([np.add.reduceat(self.margin[flat], starts) / sizes, np.ones(len(found))])
 
     def score(self, sums) -> float:
         import math
@@ -66,7 +71,7 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, seed: int = 11) -> Model:
+def fit(rows: list[tuple[str, int]], epochs: int = 5, rate: float = 0.3, seed: int = 11) -> Model:
     """Vectors and outputs of (text, label) rows, classes weighted alike."""
     import numpy as np
 
