@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 _WHOLE = re.compile(r" (?:\s|\Z)|<\|")
 #: A character of private use that stands alone between pieces.
 RULE = "\ue000"
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 CHUNK_CHARS = 1_000_000
 
 
