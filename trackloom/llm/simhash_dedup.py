@@ -22,7 +22,7 @@ none); an empty table gives no rows; other columns are ignored, or passed throug
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,11 +145,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(label, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that of the least id, with its columns as they were. Rows
-    that repeat an id count as copies; rows without an id belong to no group and stay."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One row of each component that ``find`` gives, that of the least id, with its columns as
+    they were. Rows that repeat an id count as copies; rows without an id belong to no group
+    and stay."""
     key, rank = free_name(docs, "kept_id", "rank")
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = find(docs, id_col, text_col)
     kept = groups.where("id = component").select(F.col("id").alias(key)).distinct()
     named = docs.join(kept, docs[id_col] == kept[key], "semi")
     first = named.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))).where(F.col(rank) == 1).drop(rank)
