@@ -11,8 +11,12 @@ addresses, which have no numeric domain, become keyed letters and digits of the
 All of it is DataFrame functions: matches and the text between them are taken by the same
 pattern and joined again in order.
 
+A card or IBAN may stand beside other groups of digits or capitals (an expiry date, a code, a
+word): a match that fails its check is searched for parts at its separators that pass. Runs of
+more than 49 digits are searched piece by piece.
+
 Defined cases: a null text stays null with no matches; an empty text stays empty; numbers that
-fail their check stay as they are; equal rows give equal rows; an
+fail their check, and hold no part that passes, stay as they are; equal rows give equal rows; an
 empty table gives no rows.
 """
 
@@ -29,17 +33,25 @@ ROUNDS = 10
 #: Dates are permuted over these days: 1900-01-01 to 2099-12-31 are 17 * 4297.
 FIRST_DAY, DATE_LEFT, DATE_RIGHT = "1900-01-01", 17, 4297
 
+#: Characters of an IBAN by country; other countries' may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN = "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+#: First digits and lengths of card brands, for cards beside other digits.
+BRANDS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|(?:5[06-9]|6)\d{12,18})$"
+
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
-    "card": r"(?<![\w])\d(?:[ -]?\d){12,18}(?![\w])",
+    "card": r"(?<![\w])\d(?:[ -]?\d){12,48}(?![\w])",
 }
-ANY = "|".join(KINDS.values())
 
 
 def _long(x: Column) -> Column:
@@ -112,11 +124,47 @@ def _card(m: Column, key: str, back: bool) -> Column:
     def over(d: Column) -> Column:
         payload = F.substr(d, F.lit(1), F.length(d) - 1)
         other = let(permute_digits(payload, F.lit("card"), key, back), lambda p: F.concat(p, luhn_digit(p)))
-        return F.when(luhn_digit(payload) == F.right(d, F.lit(1)), let(other, lambda o: _pour(m, o)))
+        return F.when(F.length(d).between(13, 19) & (luhn_digit(payload) == F.right(d, F.lit(1))), let(other, lambda o: _pour(m, o)))
 
     return let(_digits(m), over)
 
 
+def _cards(m: Column, key: str, back: bool) -> Column:
+    """struct(text, n) for a run of digit groups that isn't a card as a whole: the leftmost,
+    then longest groups that make a card of a known brand, again and again; what is left
+    between them is searched for the other kinds."""
+    n = F.length(m)
+    at = lambda p: F.substr(m, p, F.lit(1))
+    inside = lambda a, b: F.substr(m, a, b - a + 1)
+
+    def valid(c: Column) -> Column:
+        d = _digits(inside(c["s"], c["e"]))
+        brand = F.lit(True) if back else d.rlike(BRANDS)
+        return F.length(d).between(13, 19) & brand & (luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)))
+
+    places = F.sequence(F.lit(1), n)
+    starts = F.filter(places, lambda p: (p == 1) | at(p - 1).isin(" ", "-"))
+    ends = F.reverse(F.filter(places, lambda p: (p == n) | at(p + 1).isin(" ", "-")))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: (e - s).between(12, 36)), lambda e: F.struct(s.alias("s"), e.alias("e")))))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    taken = F.aggregate(F.filter(spans, valid), none, lambda got, c: F.when((F.size(got) == 0) | (c["s"] > F.element_at(got, -1)["e"]), F.concat(got, F.array(c))).otherwise(got))
+
+    def over(got: Column) -> Column:
+        all_ = F.concat(got, F.array(F.struct((n + 1).alias("s"), n.alias("e"))))
+        before = F.concat(F.array(F.lit(0)), F.transform(got, lambda c: c["e"]))
+        rest = {k: KINDS[k] for k in ("date", "ssn", "phone")}
+        gap = lambda c, b: _scan(inside(b + 1, c["s"] - 1), key, back, rest)
+        made = F.zip_with(all_, before, lambda c, b: F.struct(gap(c, b).alias("gap"), F.coalesce(_card(inside(c["s"], c["e"]), key, back), F.lit("")).alias("card")))
+
+        def joined(x: Column) -> Column:
+            text = F.array_join(F.transform(x, lambda p: F.concat(p["gap"]["text"], p["card"])), "")
+            return F.struct(text.alias("text"), (F.aggregate(x, F.lit(0).cast("long"), lambda a, p: a + p["gap"]["n"]) + F.size(got)).alias("n"))
+
+        return let(made, joined)
+
+    return let(taken, over)
+
+
 def _iban(m: Column, key: str, back: bool) -> Column:
     def over(bare: Column) -> Column:
         country, rest = F.substring(bare, 1, 2), F.substr(bare, F.lit(5), F.length(bare))
@@ -127,6 +175,22 @@ def _iban(m: Column, key: str, back: bool) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), over)
 
 
+def _iban_before(m: Column, key: str, back: bool) -> Column:
+    """struct(text, n) for a match that isn't an IBAN as a whole: the longest part before a
+    space that is one, and the rest searched for the other kinds."""
+    whole = KINDS["iban"]
+    ends = F.reverse(F.filter(F.sequence(F.lit(1), F.length(m) - 1), lambda p: F.substr(m, p + 1, F.lit(1)) == " "))
+    made = F.transform(ends, lambda e: F.struct(F.when(F.substr(m, F.lit(1), e).rlike(f"^(?:{whole})$"), _iban(F.substr(m, F.lit(1), e), key, back)).alias("text"), e.alias("e")))
+    rest = {k: v for k, v in KINDS.items() if k != "iban"}
+
+    def over(first: Column) -> Column:
+        tail = _scan(F.substr(m, first["e"] + 1, F.length(m)), key, back, rest)
+        put = let(tail, lambda t: F.struct(F.concat(first["text"], t["text"]).alias("text"), (t["n"] + 1).alias("n")))
+        return F.when(first.isNotNull(), put)
+
+    return let(F.get(F.filter(made, lambda x: x["text"].isNotNull()), F.lit(0)), over)
+
+
 def _ip(m: Column, key: str, back: bool) -> Column:
     def over(o: Column) -> Column:
         half = lambda i: _long(F.get(o, i)) * 256 + _long(F.get(o, i + 1))
@@ -182,13 +246,19 @@ def _email(m: Column, key: str, back: bool) -> Column:
 
 
 _MAKE = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-
-
-def replace_match(m: Column, key: str, back: bool = False) -> Column:
-    """The pseudonym of a match (or what it stands for); null if its check fails."""
-    found = F.lit(None).cast("string")
-    for kind, pattern in reversed(KINDS.items()):
-        found = F.when(m.rlike(f"^(?:{pattern})$"), _MAKE[kind](m, key, back)).otherwise(found)
+#: What else a match may hold that isn't a value as a whole.
+_PARTS = {"iban": _iban_before, "card": _cards}
+
+
+def replace_match(m: Column, key: str, back: bool = False, kinds: dict[str, str] = KINDS) -> Column:
+    """struct(text, n): the pseudonym of a match (or what it stands for) and the values
+    replaced in it; null if its check fails."""
+    found = F.lit(None).cast("struct<text:string,n:bigint>")
+    for kind, pattern in reversed(kinds.items()):
+        one = let(_MAKE[kind](m, key, back), lambda x: F.when(x.isNotNull(), F.struct(x.alias("text"), F.lit(1).cast("long").alias("n"))))
+        if kind in _PARTS:
+            one = F.coalesce(one, _PARTS[kind](m, key, back))
+        found = F.when(m.rlike(f"^(?:{pattern})$"), one).otherwise(found)
     return found
 
 
@@ -197,17 +267,24 @@ def pseudonyms(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), _replaced(F.col(text_col), key).alias("r")).select(id_col, F.col("r.text").alias(text_col), F.col("r.n").alias("n_private"))
 
 
-def _replaced(text: Column, key: str, back: bool = False) -> Column:
+def _scan(text: Column, key: str, back: bool, kinds: dict[str, str]) -> Column:
+    """struct(text, n) with the values of some kinds replaced."""
+    anyone = "|".join(kinds.values())
+
     def over(made: Column, found: Column) -> Column:
-        parts = F.zip_with(F.split(text, ANY, -1), F.zip_with(made, found, lambda a, b: F.coalesce(a, b)), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
-        n = F.size(F.filter(made, lambda x: x.isNotNull())).cast("long")
+        parts = F.zip_with(F.split(text, anyone, -1), F.zip_with(made, found, lambda a, b: F.coalesce(a["text"], b)), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+        n = F.aggregate(made, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n"], F.lit(0).cast("long")))
         return F.struct(F.array_join(parts, "").alias("text"), n.alias("n"))
 
-    changed = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: let(F.transform(found, lambda m: replace_match(m, key, back)), lambda made: over(made, found)))
+    changed = let(F.regexp_extract_all(text, F.lit(anyone), F.lit(0)), lambda found: let(F.transform(found, lambda m: replace_match(m, key, back, kinds)), lambda made: over(made, found)))
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     return F.when(text.rlike("[0-9@]"), changed).otherwise(same)
 
 
+def _replaced(text: Column, key: str, back: bool = False) -> Column:
+    return _scan(text, key, back, KINDS)
+
+
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with private values of its text replaced and all columns as they were."""
     return docs.withColumn(text_col, _replaced(F.col(text_col), key)["text"])
@@ -215,5 +292,6 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
 
 def originals(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms taken back, but for e-mail addresses. Only for texts in which
-    all values of these kinds are pseudonyms."""
+    all values of these kinds are pseudonyms. A card that stood beside other digits goes back only
+    if no other groups of its run pass the check."""
     return docs.withColumn(text_col, _replaced(F.col(text_col), key, True)["text"])
