@@ -7,8 +7,9 @@ item if that is shorter) agrees in at least SHARE of its places. Each mask alone
 window of 13 words with two substitutions, so no such leak is missed.
 
 Words are runs of letters, marks and digits in lower case. Items whose words are all equal
-count as one and carry the least item_id. Items of fewer than SPAN words have no seed and are
-never reported.
+count as one and carry the least item_id. Items of fewer than 12 words, whose whole is the
+window, are cut into one segment more than the substitutions allowed, one of which is then
+intact and is their seed; items of fewer than SPAN words are matched whole and exactly.
 
 Defined cases: a null text has no words; rows without id are reported with a null id; equal
 rows give one report; empty tables give no rows; other columns are ignored, or passed through
@@ -17,6 +18,8 @@ by :func:`clean`.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ MASKS = ((0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
 SPAN = 8
 WINDOW = 13
 SHARE = 0.8
+#: Items of fewer words are found by segments, as the masks don't meet all their substitutions.
+SHORT = 12
 #: Rows of three longs that may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -42,6 +47,18 @@ def _seeds(w: Column) -> Column:
     return F.when(F.size(w) < SPAN, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - SPAN), at)))
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """(offset, words) of the segments of an item of ``n`` words, below SHORT."""
+    parts = 1 if n < SPAN else n - math.ceil(SHARE * n) + 1
+    cuts = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _gram(w: Column, at: Column, n: int) -> Column:
+    """The hash of ``n`` words in a row; null beyond the end."""
+    return F.when(at + n <= F.size(w), F.xxhash64(F.lit(len(MASKS) + n), *[F.get(w, at + o) for o in range(n)]))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """The frame, to be broadcast if its rows were counted and are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -50,11 +67,21 @@ def _small(df: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, n_compared, n_equal): each leaked item of each document, with the words of
     the window that agrees best."""
-    items = written(benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("t")).where(F.size("t") >= SPAN).groupBy("t").agg(F.min("item").alias("item")), "items")
+    items = written(benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("t")).where(F.size("t") > 0).groupBy("t").agg(F.min("item").alias("item")), "items")
     place = lambda name: F.expr(f"cast(pos div {len(MASKS)} as bigint)").alias(name)
-    known = written(items.select("item", F.posexplode(_seeds(F.col("t"))).alias("pos", "h")).select("h", "item", place("at")), "seeds")
+    known = items.where(F.size("t") >= SPAN).select("item", F.posexplode(_seeds(F.col("t"))).alias("pos", "h")).select("h", "item", place("at"))
+    sizes = [r["n"] for r in items.select(F.size("t").alias("n")).where(F.col("n") < SHORT).distinct().collect()]
+    for n in sizes:
+        cut = F.array(*[F.struct(_gram(F.col("t"), F.lit(a), k).alias("h"), F.lit(a).cast("long").alias("at")) for a, k in segments(n)])
+        known = known.union(items.where(F.size("t") == n).select("item", F.explode(cut).alias("s")).select("s.h", "item", "s.at"))
+    known = written(known, "seeds")
     given = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     seen = given.select("id", F.posexplode(_seeds(F.col("w"))).alias("pos", "h")).select("id", "h", place("here"))
+    grams = sorted({k for n in sizes for _, k in segments(n)})
+    if grams:
+        at = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array(*[_gram(F.col("w"), i, k) for k in grams]))
+        short = given.where(F.size("w") > 0).select("id", F.posexplode(F.flatten(at)).alias("pos", "h")).where("h is not null")
+        seen = seen.union(short.select("id", "h", F.expr(f"cast(pos div {len(grams)} as bigint)").alias("here")))
     hits = seen.join(_small(known), "h").select("id", "item", (F.col("here") - F.col("at")).alias("shift")).distinct()
     hits = written(hits, "hits").withColumnRenamed("id", "hit")
     both = given.join(_small(hits), F.col("id").eqNullSafe(F.col("hit")))
