@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tests.llm import page_templates
 from trackloom.llm import common, decontaminate, html_extract, packing, pii, quality_rules, queries, secret_scan, simhash_dedup, token_output
 from trackloom.llm.tokens import Encoder
 
@@ -249,13 +250,13 @@ def test_viterbi_is_the_best_path():
 
 
 def test_main_text():
-    weights = html_extract.fit(html_extract.labelled_pages(200))
+    weights = html_extract.fit(html_extract.labelled_pages())
     page = """<body><div id="header">Site<ul><li><a href=x>One</a></ul></div><div class="cookie-notice">We use cookies &amp; more</div><div id="content"><h1>T&eacute;st</h1>
     <p>Some <i>bo</i>dy text goes on here &lt;long&gt; enough,&nbsp;right? <a href="q">link</a><p>Second<br>line 5 < 6.<div class="ad">Buy</div><ul><li>point one<li>two</ul></div>
     <div class="comments"><p>A reader comments at length about this text and so on and so on, as readers do</p></div><form>Search</form><footer>bye</footer><script>var a="</p>";</script>"""
     assert html_extract.extract(page, weights) == "Tést Some body text goes on here <long> enough, right? link Second line 5 < 6. point one two"
     bad = 0
-    for p in html_extract.labelled_pages(100, seed=5):
+    for p in page_templates.template_pages(100, seed=5):
         want = " ".join(w for w in re.sub(r"<[^>]+>", " ", p).split() if w.startswith(html_extract.MARK))
         bad += html_extract.extract(p, weights) != want
     assert bad <= 2
