@@ -239,16 +239,6 @@ def test_secrets(spark, texts):
     assert [s for s in every if s[0] != "crf"] == base == [("assign", 7, 30), ("assign", 44, 65), ("access", 44, 65), ("hex", 67, 84)]
 
 
-def test_viterbi_is_the_best_path():
-    from itertools import product
-
-    model = secret_scan.default_model()
-    chain = [["len3", "kind:dl"], ["len2", "kind:dUl", "entropy8"], ["len1"], ["flips4"]]
-    e = model.emissions(chain)
-    worth = lambda p: model.moves[0, p[0]] + sum(e[i, y] for i, y in enumerate(p)) + sum(model.moves[a, b] for a, b in zip(p, p[1:])) + model.moves[p[-1], 0]
-    assert worth(model.viterbi(chain)) == pytest.approx(max(map(worth, product(range(3), repeat=4))))
-
-
 def test_main_text():
     weights = html_extract.fit(html_extract.labelled_pages())
     page = """<body><div id="header">Site<ul><li><a href=x>One</a></ul></div><div class="cookie-notice">We use cookies &amp; more</div><div id="content"><h1>T&eacute;st</h1>
