@@ -1,10 +1,11 @@
 """Quality classifier on supervised subword embeddings.
 
 A word's vector is the mean of learned vectors of its hashed features: the word itself and its
-character n-grams of 3 and 4. A word that repeats the one before it is the word AGAIN. A
+character n-grams of 3 to 5. A word that repeats the one before it is the word AGAIN. A
 document is the mean of its words' vectors; a softmax over it gives the classes. Everything is
 trained by stochastic gradient descent in numpy on TRAIN_DOCS labelled rows at most, those of
-the least id hash, and every row is scored. As the model is linear above the vectors, scoring
+the least id hash with TRAIN_CHARS characters at most (see language_id), and every row is scored
+by its whole text. As the model is linear above the vectors, scoring
 needs one number for each distinct word.
 
 Defined cases: a null or blank text has no words and gets the bias alone; labels outside 0 and
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 2000
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 AGAIN = "\x00again"
@@ -40,7 +41,7 @@ def features(word: str) -> list[int]:
         return [zlib.crc32(b"\x00again") & BUCKETS - 1]
     w = f"<{word}>".encode("utf-8", "surrogatepass")
     crc = zlib.crc32
-    parts = [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+    parts = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
     return [h & BUCKETS - 1 for h in (crc(w), *map(crc, parts))]
 
 
@@ -71,7 +72,7 @@ class Model:
         return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 5, rate: float = 0.3, seed: int = 11) -> Model:
+def fit(rows: list[tuple[str, int]], epochs: int = 12, rate: float = 0.3, seed: int = 11) -> Model:
     """Vectors and outputs of (text, label) rows, classes weighted alike."""
     import numpy as np
 
@@ -131,11 +132,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n: int = TRAIN_DOCS, folds: int = 5, fold: int = 0) -> Model:
-    """Fit on up to ``n`` labelled rows outside the held-out fold. Only the chosen labels, at
-    most ``n``, are broadcast to fetch their texts."""
-    from trackloom.llm.language_id import held_out, sample
+    """Fit on up to ``n`` labelled rows outside the held-out fold, without those of very long
+    texts. Only the chosen labels, at most ``n``, are broadcast to fetch their texts."""
+    from trackloom.llm.language_id import TRAIN_CHARS, held_out
 
     known = labels.where(~held_out(id_col, folds, fold) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
-    chosen = sample(known.groupBy("id").agg(F.max("y").alias("y")), "id", n)
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id").collect()
-    return fit([(r["t"], int(r["y"])) for r in sorted(got, key=lambda r: (r["id"], r["t"] or ""))])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    few = known.groupBy("id").agg(F.max("y").alias("y")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(n)
+    got = texts.where(F.length("t") <= TRAIN_CHARS).join(F.broadcast(few), "id").groupBy("id").agg(F.min(F.struct("t", "y")).alias("r")).select("id", "r.*").collect()
+    return fit([(r["t"], int(r["y"])) for r in sorted(got, key=lambda r: r["id"])])
