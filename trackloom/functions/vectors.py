@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,3 +140,86 @@ def best_per_group(queries: DataFrame, gallery: DataFrame, group_col: str, id_co
 
     met = q.crossJoin(g).mapInArrow(run, "query bigint, group bigint, sim double")  # of blocks, not of rows
     return met.groupBy("query", "group").agg(F.max("sim").alias("sim"))
+
+
+def _tagged(df: DataFrame, tag_col: str, id_col: str, vec_col: str, side: str) -> DataFrame:
+    """Blocks whose vectors carry a whole number behind them."""
+    rows = df.withColumn("__v", F.array_append(F.col(vec_col).cast("array<double>"), F.col(tag_col).cast("double")))
+    return _blocks(rows, id_col, "__v", side)
+
+
+def _products(queries: DataFrame, gallery: DataFrame, tag_col: str, id_col: str, vec_col: str, make: Callable, schema: str) -> DataFrame:
+    """What ``make(query ids, query tags, gallery ids, gallery tags, products)`` gives, as columns,
+    for each pair of blocks."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                qi, gi = np.array(row["q_ids"], np.int64), np.array(row["g_ids"], np.int64)
+                q, g = np.frombuffer(row["q_m"]).reshape(len(qi), -1), np.frombuffer(row["g_m"]).reshape(len(gi), -1)
+                made = make(qi, q[:, -1].astype(np.int64), gi, g[:, -1].astype(np.int64), q[:, :-1] @ g[:, :-1].T)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, target)], schema=target)
+
+    met = _tagged(queries, tag_col, id_col, vec_col, "q").crossJoin(_tagged(gallery, tag_col, id_col, vec_col, "g"))  # of blocks, not of rows
+    return met.mapInArrow(run, schema)
+
+
+def set_distances(vectors: DataFrame, set_col: str, k: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(la, lb, least, mean, topk): of all distances between the vectors of two sets, la < lb, the
+    least, the mean, and the mean of the ``k`` least. A pair of blocks gives k rows for each pair
+    of sets in it at most."""
+
+    def make(qi, qt, gi, gt, s):
+        import numpy as np
+
+        out = [[] for _ in range(5)]
+        for a in np.unique(qt):
+            for b in np.unique(gt[gt > a]):
+                d = 1 - s[np.ix_(qt == a, gt == b)].ravel()
+                few = np.sort(np.partition(d, min(k, len(d)) - 1)[:k])
+                for i, x in enumerate(few):
+                    for column, value in zip(out, (a, b, x, d.sum() if i == 0 else 0.0, len(d) if i == 0 else 0)):
+                        column.append(value)
+        return out
+
+    rows = _products(vectors, vectors, set_col, id_col, vec_col, make, "la bigint, lb bigint, d double, total double, n bigint")
+    nth = F.row_number().over(Window.partitionBy("la", "lb").orderBy("d"))
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("la", "lb").agg(F.min("d").alias("least"), F.avg("d").alias("topk"))
+    mean = rows.groupBy("la", "lb").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    return few.join(mean, ["la", "lb"]).select("la", "lb", "least", "mean", "topk")
+
+
+def similarity_counts(queries: DataFrame, gallery: DataFrame, set_col: str, bins: int = 1000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(same, bin, n, total): for the pairs of a query and a gallery row of a greater id, how many of
+    equal and of different sets have a similarity of bin / bins, rounded, and its sum."""
+
+    def make(qi, qt, gi, gt, s):
+        import numpy as np
+
+        out = [[] for _ in range(4)]
+        later, same = qi[:, None] < gi[None, :], qt[:, None] == gt[None, :]
+        for flag in (True, False):
+            x = s[later & (same == flag)]
+            at, where = np.unique(np.floor(x * bins + 0.5).astype(np.int64), return_inverse=True)
+            for column, values in zip(out, ([flag] * len(at), at, np.bincount(where, minlength=len(at)), np.bincount(where, x, len(at)))):
+                column.extend(values)
+        return out
+
+    rows = _products(queries, gallery, set_col, id_col, vec_col, make, "same boolean, bin bigint, n bigint, total double")
+    return rows.groupBy("same", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def reciprocal_best(queries: DataFrame, gallery: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(a, b, sim): queries, which are rows of the gallery too, and their best rows, if each is
+    the other's best."""
+    there = nearest(queries, gallery, 1, id_col, vec_col).select(F.col("query").alias("a"), F.col("id").alias("b"), "sim")
+    found = gallery.join(there.select(F.col("b").alias(id_col)).distinct(), id_col, "semi")
+    back = nearest(found, gallery, 1, id_col, vec_col).select(F.col("query").alias("b"), F.col("id").alias("a"))
+    return there.join(back, ["a", "b"]).select("a", "b", "sim")

@@ -39,6 +39,21 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], start: str, end: str,
     return met.where(shared >= least).select(pick("x", a), pick("y", b))
 
 
+def near_pairs(rows: DataFrame, keys: list[str], id_col: str, radius: float) -> DataFrame:
+    """(keys, a, b): pairs of different ids, a < b, that stand within ``radius`` of each other
+    under equal keys. ``rows(keys, id, x, y)``; rows without a place are ignored.
+
+    The plane is cut into squares of that side; a row meets those of its own square and of half
+    of the squares around it, so no pair of far rows is made, and none is made twice.
+    """
+    at = rows.where("x is not null and y is not null").select(*keys, F.col(id_col).alias("i"), "x", "y").withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
+    out = at.withColumn("s", F.explode(steps)).select(*keys, F.col("i").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
+    met = out.join(at, [*keys, "cx", "cy"]).where("p <> i and (not own or p < i)")
+    met = met.where((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2 <= radius**2)
+    return met.select(*keys, F.least("p", "i").alias("a"), F.greatest("p", "i").alias("b")).distinct()
+
+
 def camera_pair(a: Column, b: Column) -> tuple[Column, Column]:
     """A pair of cameras in one order, for symmetric lookups."""
     return F.least(a, b), F.greatest(a, b)

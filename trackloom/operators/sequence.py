@@ -189,13 +189,12 @@ def confirmed_counter(rows: DataFrame, keys: list[str], value: str, commit: int
     return fold(rows, keys, ["us", "event_id"], lambda: (None, 0, None), counter_step(commit, value), schema)
 
 
-def confirmed_pairs(pairs: DataFrame, ticks: DataFrame, confirm: int = 4) -> DataFrame:
-    """Pairs (a, b) seen together on ``confirm`` ticks in a row. ``ticks(tick)`` lists all
-    ticks, ``pairs(a, b, tick)`` those with the pair; a miss starts anew."""
-    numbered = ticks.select("tick", F.dense_rank().over(Window.orderBy("tick")).alias("n"))
-    w = Window.partitionBy("a", "b").orderBy("n")
-    rows = pairs.select("a", "b", "tick").distinct().join(numbered, "tick").withColumn("run", F.col("n") - F.row_number().over(w))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("a", "b", "run").orderBy("n")))
+def confirmed_pairs(pairs: DataFrame, confirm: int = 4) -> DataFrame:
+    """``pairs(a, b, tick)`` that were seen on ``confirm`` ticks in a row, with the tick that
+    confirms them; ticks are whole numbers one apart, and a miss starts anew."""
+    w = Window.partitionBy("a", "b").orderBy("tick")
+    rows = pairs.select("a", "b", "tick").distinct().withColumn("run", F.col("tick") - F.row_number().over(w))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("a", "b", "run").orderBy("tick")))
     return rows.where(F.col("k") == confirm).select("a", "b", "tick")
 
 

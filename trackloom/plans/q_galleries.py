@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import vectors as ve
 from trackloom.operators import galleries as ga
 from trackloom.operators import observations as ob
+from trackloom.operators import rerank as rr
 from trackloom.operators import sequence as sq
 from trackloom.operators.assignment import assign_groups
 from trackloom.plans.catalog import BOXES, OBS, query, table
@@ -47,19 +48,12 @@ def rejoin(spark, sf):
 
 @query("idn36_37_reranked")
 def reranked(spark, sf):
-    """Nearest rows by re-ranked distance within blocks of one label."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", ve.unit(F.col("embedding")).alias("v"))
-
-    def run(part):
-        import numpy as np
-        import pandas as pd
-
-        part = part.sort_values("vec_id").reset_index(drop=True)
-        d = ga.k_reciprocal(np.stack(part["v"].to_numpy()), k1=10, k2=3, cameras=(part["vec_id"] % 3).tolist(), quota=10)
-        np.fill_diagonal(d, np.inf)
-        return pd.DataFrame({"vec_id": part["vec_id"], "nearest": part["vec_id"].to_numpy()[d.argmin(axis=1)] if len(part) > 1 else None})
-
-    return e.groupBy("label", F.floor(F.col("vec_id") / 2000)).applyInPandas(run, "vec_id bigint, nearest bigint")
+    """IDN-36 and IDN-37: the nearest row of each query by re-ranked distance, with plain lists and
+    with at most ten rows of a camera in a list."""
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 3).alias("cam"), ve.unit(F.col("embedding")).alias("v"))
+    q = e.where("vec_id % 20 = 0")
+    one = lambda found, n: found.select("query", F.col("id").alias(n), F.round("dist", 6).alias(f"{n}_dist"))
+    return one(rr.reranked(e, q), "plain").join(one(rr.reranked(e, q, camera_col="cam", quota=10), "by_camera"), "query")
 
 
 @query("idn41_smoothed_hold")

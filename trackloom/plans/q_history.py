@@ -92,11 +92,11 @@ def same_frame(spark, sf):
     return f.alias("a").join(f.alias("b"), "frame").where("a.camera < b.camera").select("frame", F.col("a.camera").alias("ca"), F.col("b.camera").alias("cb"), F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
 
 
-_IV = f"{_V}, i AS (SELECT * FROM v WHERE n_obs >= 3 AND gid < 30)"
+_IV = f"{_V}, i AS (SELECT * FROM v WHERE n_obs >= 3)"
 
 
 def intervals(spark, sf):
-    return seen(spark, sf).where("n_obs >= 3 and gid < 30").select("gid", "camera", "us_start", "us_end")
+    return seen(spark, sf).where("n_obs >= 3").select("gid", "camera", "us_start", "us_end")
 
 
 @query("jn14_covisible", f"{_IV} SELECT a.gid AS ga, b.gid AS gb, a.camera, a.us_start AS sa, b.us_start AS sb FROM i a JOIN i b USING (camera) WHERE a.gid < b.gid AND a.us_start <= b.us_end AND b.us_start <= a.us_end")
@@ -189,9 +189,9 @@ def summary(spark, sf):
     return seen(spark, sf).agg(F.count("*").alias("visits"), F.sum("n_obs").alias("observations"), F.count_distinct("gid").alias("people"), F.min("us_start").alias("first_us"), F.max("us_end").alias("last_us"), F.count("name").alias("named"), F.count_if(F.col("n_obs") >= 3).alias("long"))
 
 
-@query("agg03_dossier", f"{_V} SELECT gid, camera, count(*) AS visits, min(us_start) AS first_us, max(us_end) AS last_us, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS names FROM v WHERE gid < 25 GROUP BY gid, camera")
+@query("agg03_dossier", f"{_V} SELECT gid, camera, count(*) AS visits, min(us_start) AS first_us, max(us_end) AS last_us, coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS names FROM v GROUP BY gid, camera")
 def dossier(spark, sf):
-    return seen(spark, sf).where("gid < 25").groupBy("gid", "camera").agg(F.count("*").alias("visits"), F.min("us_start").alias("first_us"), F.max("us_end").alias("last_us"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
+    return seen(spark, sf).groupBy("gid", "camera").agg(F.count("*").alias("visits"), F.min("us_start").alias("first_us"), F.max("us_end").alias("last_us"), F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
 
 
 @query("agg04_identity_audit", f"{_V} SELECT gid, count(*) AS visits, count(name) AS named, count(*) - count(name) AS unnamed, string_agg(DISTINCT camera, ',' ORDER BY camera) AS cameras, first(best_event ORDER BY quality DESC, us_start, camera) AS best, count(DISTINCT name) > 1 AS contaminated FROM v GROUP BY gid")
@@ -223,9 +223,9 @@ def use_case_state(spark, sf):
     return per.groupBy("line").agg(F.sum("n").alias("total"), F.array_join(text, ";").alias("directions"))
 
 
-@query("agg29_camera_pairs", f"WITH {OBS}, d AS (SELECT DISTINCT gid, camera FROM o WHERE gid % 3 = 0) SELECT a.camera AS ca, b.camera AS cb, count(*) AS n FROM d a JOIN d b USING (gid) WHERE a.camera < b.camera GROUP BY 1, 2 ORDER BY n DESC, ca, cb LIMIT 10")
+@query("agg29_camera_pairs", f"WITH {OBS}, d AS (SELECT DISTINCT gid, camera FROM o) SELECT a.camera AS ca, b.camera AS cb, count(*) AS n FROM d a JOIN d b USING (gid) WHERE a.camera < b.camera GROUP BY 1, 2 ORDER BY n DESC, ca, cb LIMIT 10")
 def camera_pairs(spark, sf):
-    sets = obs(spark, sf).where("gid % 3 = 0").groupBy("gid").agg(F.sort_array(F.collect_set("camera")).alias("c"))
+    sets = obs(spark, sf).groupBy("gid").agg(F.sort_array(F.collect_set("camera")).alias("c"))
     pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("ca"), b.alias("cb")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.ca", "p.cb").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ca", "cb").limit(10)
 
@@ -311,15 +311,15 @@ def name_union(spark, sf):
     return u.withColumn("k", F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("src", "i"))).where("k = 1").select("name")
 
 
-@query("set02_multi_file_union", "SELECT event_id AS id, event_type AS kind, NULL::VARCHAR AS status FROM events WHERE event_id < 50 UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders WHERE o_orderkey < 200")
+@query("set02_multi_file_union", "SELECT event_id AS id, event_type AS kind, NULL::VARCHAR AS status FROM events UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders")
 def file_union(spark, sf):
-    a = table(spark, sf, "events").where("event_id < 50").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
-    return a.unionByName(table(spark, sf, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), allowMissingColumns=True)
+    a = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
+    return a.unionByName(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), allowMissingColumns=True)
 
 
-@query("set03_camera_sets", f"WITH {OBS}, s AS (SELECT gid, list_sort(list(DISTINCT camera)) AS c FROM o WHERE gid < 60 GROUP BY gid) SELECT a.gid AS ga, b.gid AS gb, array_to_string(list_sort(list_intersect(a.c, b.c)), ',') AS both, array_to_string(list_sort(list_concat(list_filter(a.c, lambda x: NOT list_contains(b.c, x)), list_filter(b.c, lambda x: NOT list_contains(a.c, x)))), ',') AS differ FROM s a JOIN s b ON b.gid = a.gid + 1")
+@query("set03_camera_sets", f"WITH {OBS}, s AS (SELECT gid, list_sort(list(DISTINCT camera)) AS c FROM o GROUP BY gid) SELECT a.gid AS ga, b.gid AS gb, array_to_string(list_sort(list_intersect(a.c, b.c)), ',') AS both, array_to_string(list_sort(list_concat(list_filter(a.c, lambda x: NOT list_contains(b.c, x)), list_filter(b.c, lambda x: NOT list_contains(a.c, x)))), ',') AS differ FROM s a JOIN s b ON b.gid = a.gid + 1")
 def camera_sets(spark, sf):
-    s = obs(spark, sf).where("gid < 60").groupBy("gid").agg(F.sort_array(F.collect_set("camera")).alias("c"))
+    s = obs(spark, sf).groupBy("gid").agg(F.sort_array(F.collect_set("camera")).alias("c"))
     a, b = s.select(F.col("gid").alias("ga"), F.col("c").alias("a")), s.select((F.col("gid") - 1).alias("ga"), F.col("gid").alias("gb"), F.col("c").alias("b"))
     text = lambda c: F.array_join(F.sort_array(c), ",")
     return a.join(b, "ga").select("ga", "gb", text(F.array_intersect("a", "b")).alias("both"), text(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("differ"))

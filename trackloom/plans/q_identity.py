@@ -80,16 +80,17 @@ def merge_log(spark, sf):
 
 
 def close_pairs(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id % 20 = 0")
-    near = ve.nearest(q, q, 3)
+    """Each row with its three nearest rows."""
+    e = table(spark, sf, "embeddings")
+    near = ve.nearest(e, e, 3)
     return near.select(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b"), F.round(1 - F.col("sim"), 9).alias("d")).distinct()
 
 
-@query("idn12_components", """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), n AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+@query("idn12_components", """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 p AS (SELECT a, b FROM n WHERE r = 1 UNION SELECT b, a FROM n WHERE r = 1), w AS (SELECT a AS id, a AS root FROM p UNION SELECT p.b, w.root FROM w JOIN p ON p.a = w.id) SELECT id, min(root) AS root FROM w GROUP BY id""")
 def component_roots(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id % 20 = 0")
-    return idn.connected(ve.nearest(q, q, 1).select(F.col("query").alias("a"), F.col("id").alias("b")))
+    e = table(spark, sf, "embeddings")
+    return idn.connected(ve.nearest(e, e, 1).select(F.col("query").alias("a"), F.col("id").alias("b")))
 
 
 @query("idn13_16_linked_clusters")

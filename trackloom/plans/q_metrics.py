@@ -172,19 +172,16 @@ def with_labels(spark, sf, found):
     return found.join(e.withColumnRenamed("vec_id", "id"), "id").join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query")
 
 
-@query("agg26_calibration", f"WITH {_E}, q AS (SELECT * FROM e WHERE vec_id % 20 = 0), p AS (SELECT q.label = e.label AS same, list_dot_product(q.v, e.v) AS s FROM q JOIN e ON q.vec_id < e.vec_id), r AS (SELECT *, rank() OVER (ORDER BY s) AS r FROM p) SELECT round(1 - (avg(s) FILTER (same) + avg(s) FILTER (NOT same)) / 2, 6) AS thr, round((sum(r) FILTER (same) - count(*) FILTER (same) * (count(*) FILTER (same) + 1) / 2) / (count(*) FILTER (same) * count(*) FILTER (NOT same)), 6) AS auc FROM r")
+@query("agg26_calibration", f"WITH {_E}, q AS (SELECT * FROM e WHERE vec_id % 20 = 0), p AS (SELECT q.label = e.label AS same, list_dot_product(q.v, e.v) AS s FROM q JOIN e ON q.vec_id < e.vec_id), c AS (SELECT same, floor(s * 1000 + 0.5) AS bin, count(*) AS n, sum(s) AS total FROM p GROUP BY ALL), w AS (SELECT sum(x.n * y.n * CASE WHEN x.bin > y.bin THEN 1.0 WHEN x.bin = y.bin THEN 0.5 ELSE 0 END) AS u FROM c x JOIN c y ON x.same AND NOT y.same) SELECT round(1 - (sum(total) FILTER (same) / sum(n) FILTER (same) + sum(total) FILTER (NOT same) / sum(n) FILTER (NOT same)) / 2, 6) AS thr, round(any_value(u) / (sum(n) FILTER (same) * sum(n) FILTER (NOT same)), 4) AS auc FROM c, w")
 def calibration(spark, sf):
-    """The area comes from sorted ranges: ranks within a range plus the rows of ranges before."""
+    """The area under the curve of similarities rounded to thousandths, ties counting half."""
     e = table(spark, sf, "embeddings")
-    n = e.count()
-    p = with_labels(spark, sf, ve.nearest(e.where("vec_id % 20 = 0"), e, n)).where("query < id").select((F.col("ql") == F.col("label")).alias("same"), F.col("sim").alias("s"))
-    p = p.withColumn("b", F.floor((F.col("s") + 1) * 500))
-    before = p.groupBy("b").agg(F.count("*").alias("c")).select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"))  # a thousand ranges
-    r = p.join(before, "b").withColumn("r", F.col("before") + F.rank().over(Window.partitionBy("b").orderBy("s")))
-    pos, neg = F.count_if("same"), F.count_if(~F.col("same"))
-    total = F.sum(F.when(F.col("same"), F.col("r")))
-    mean = lambda c: F.avg(F.when(c, F.col("s")))
-    return r.agg(F.round(1 - (mean(F.col("same")) + mean(~F.col("same"))) / 2, 6).alias("thr"), F.round((total - pos * (pos + 1) / 2) / (pos * neg), 6).alias("auc"))
+    c = ve.similarity_counts(e.where("vec_id % 20 = 0"), e, "label")
+    of = lambda x, flag: F.sum(F.when(F.col("same") == flag, F.col(x)).otherwise(0))
+    per = c.groupBy("bin").agg(of("n", True).alias("pos"), of("n", False).alias("neg"), of("total", True).alias("tp"), of("total", False).alias("tn"))
+    below = F.coalesce(F.sum("neg").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # two thousand bins at most
+    r = per.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
+    return r.agg(F.round(1 - (F.sum("tp") / F.sum("pos") + F.sum("tn") / F.sum("neg")) / 2, 6).alias("thr"), F.round(F.sum("u") / (F.sum("pos") * F.sum("neg")), 4).alias("auc"))
 
 
 @query("agg27_retrieval", f"{_Q}, h AS (SELECT query, bool_or(label = ql AND rank = 1) AS a, bool_or(label = ql AND rank <= 5) AS b FROM n GROUP BY query) SELECT round(avg(a::INT), 6) AS rank1, round(avg(b::INT), 6) AS rank5 FROM h")
@@ -210,11 +207,16 @@ def filter_after(spark, sf):
     return near(spark, sf, 12).where("id % 3 = 1").select("query", "id")
 
 
-@query("jn19_reciprocal_best", f"WITH {_E}, q AS (SELECT * FROM e WHERE vec_id % 20 = 0), n AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM q a JOIN q b ON a.vec_id <> b.vec_id) SELECT x.a, x.b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.r = 1 AND y.r = 1 AND x.a < x.b")
+@query("jn19_reciprocal_best", f"WITH {OBS}, {_E}, n AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id), t AS (SELECT event_id, us AS s, us + (k + 1) * 60000000 AS e FROM o) SELECT x.a, x.b, round(1 - x.s, 6) AS dist, round(greatest(p.s - q.e, q.s - p.e) / 1e6, 3) AS gap_s FROM n x JOIN n y ON x.a = y.b AND x.b = y.a JOIN t p ON p.event_id = x.a JOIN t q ON q.event_id = x.b WHERE x.r = 1 AND y.r = 1 AND x.a % 20 = 0 AND 1 - x.s <= 0.85 * 0.75 AND (p.s >= q.e OR q.s >= p.e)")
 def reciprocal(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id % 20 = 0")
-    best = ve.nearest(q, q, 1).select(F.col("query").alias("a"), F.col("id").alias("b"))
-    return best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).where("a < b")
+    """Each other's best, near enough, and never at one time: the rows that transition times are
+    learned from. A row's time is that of the observation of its number."""
+    e = table(spark, sf, "embeddings")
+    near = ve.reciprocal_best(e.where("vec_id % 20 = 0"), e).where(1 - F.col("sim") <= 0.85 * 0.75)
+    t = obs(spark, sf).select("event_id", F.col("us").alias("s"), (F.col("us") + (F.col("k") + 1) * 60_000_000).alias("e"))
+    p, q = (t.select(F.col("event_id").alias(i), F.col("s").alias(f"s{i}"), F.col("e").alias(f"e{i}")) for i in "ab")
+    met = near.join(p, "a").join(q, "b").where("sa >= eb or sb >= ea")
+    return met.select("a", "b", F.round(1 - F.col("sim"), 6).alias("dist"), F.round(F.greatest(F.col("sa") - F.col("eb"), F.col("sb") - F.col("ea")) / 1e6, 3).alias("gap_s"))
 
 
 @query("top07_best_per_identity", f"{_Q}, m AS (SELECT query, label, max(sim) AS sim FROM n GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, label) AS rank FROM m) SELECT query, label, rank FROM r WHERE rank <= 3")
@@ -244,15 +246,13 @@ def l2(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.get(u, 0), 6).alias("first"), F.round(ve.norm(u), 6).alias("norm"))
 
 
-_SETS = f"WITH {_E}, p AS (SELECT a.label AS la, b.label AS lb, 1 - list_dot_product(a.v, b.v) AS d FROM e a JOIN e b ON a.label < b.label WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0)"
+_SETS = f"WITH {_E}, p AS (SELECT a.label AS la, b.label AS lb, 1 - list_dot_product(a.v, b.v) AS d FROM e a JOIN e b ON a.label < b.label)"
 
 
 @query("fn19_20_set_distance", f"{_SETS}, r AS (SELECT *, row_number() OVER (PARTITION BY la, lb ORDER BY d) AS r FROM p) SELECT la, lb, round(min(d), 6) AS least, round(avg(d), 6) AS mean, round(avg(d) FILTER (r <= 3), 6) AS top3 FROM r GROUP BY 1, 2")
 def set_distance(spark, sf):
-    q = table(spark, sf, "embeddings").where("vec_id % 20 = 0")
-    found = with_labels(spark, sf, ve.nearest(q, q, q.count())).where("ql < label")
-    d = found.groupBy(F.col("ql").alias("la"), F.col("label").alias("lb")).agg(F.collect_list(1 - F.col("sim")).alias("d"))
-    return d.select("la", "lb", *[F.round(ve.link_distance(F.col("d"), how), 6).alias(n) for how, n in (("min", "least"), ("avg", "mean"), ("topk", "top3"))])
+    d = ve.set_distances(table(spark, sf, "embeddings"), "label")
+    return d.select("la", "lb", F.round("least", 6).alias("least"), F.round("mean", 6).alias("mean"), F.round("topk", 6).alias("top3"))
 
 
 @query("fn21_bhattacharyya", f"{_NEXT}, h AS (SELECT vec_id, list_transform(a, lambda x: abs(x)) AS a, list_transform(b, lambda x: abs(x)) AS b FROM p) SELECT vec_id, round(sqrt(greatest(0, 1 - list_sum(list_transform(list_zip(a, b), lambda t: sqrt(t[1] * t[2]))) / sqrt(list_sum(a) * list_sum(b)))), 6) AS dist FROM h")
@@ -275,13 +275,14 @@ def smoothing(spark, sf):
     return rows.select("vec_id", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 63), 6).alias("last"))
 
 
-@query("win26_rank_fusion", f"WITH {_E}, q AS (SELECT * FROM e WHERE vec_id % 20 = 0), n AS (SELECT q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, e.v) DESC, e.vec_id) AS a, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.label - e.label), e.vec_id) AS b FROM q JOIN e ON q.vec_id <> e.vec_id), s AS (SELECT *, 1 / (60 + a) + 1 / (60 + b) AS s FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) AS rank FROM s) SELECT query, id, rank FROM r WHERE rank <= 5")
+@query("win26_rank_fusion", f"WITH {_E}, q AS (SELECT * FROM e WHERE vec_id % 20 = 0), n AS (SELECT q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v[1:32], e.v[1:32]) DESC, e.vec_id) AS a, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v[33:64], e.v[33:64]) DESC, e.vec_id) AS b FROM q JOIN e ON q.vec_id <> e.vec_id), s AS (SELECT query, id, sum(s) AS s FROM (SELECT query, id, 1 / (60 + a) AS s FROM n WHERE a <= 50 UNION ALL SELECT query, id, 1 / (60 + b) FROM n WHERE b <= 50) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 12) DESC, id) AS rank FROM s) SELECT query, id, rank FROM r WHERE rank <= 5")
 def rank_fusion(spark, sf):
+    """Reciprocal ranks of two lists of fifty, by either half of the vector."""
     e = table(spark, sf, "embeddings")
-    n = with_labels(spark, sf, ve.nearest(e.where("vec_id % 20 = 0"), e, e.count()))
-    w = Window.partitionBy("query")
-    s = n.withColumn("b", F.row_number().over(w.orderBy(F.abs(F.col("ql") - F.col("label")), "id"))).withColumn("s", F.round(1 / (60 + F.col("rank")) + 1 / (60 + F.col("b")), 12))
-    return s.select("query", "id", F.row_number().over(w.orderBy(F.desc("s"), "id")).alias("rank")).where("rank <= 5")
+    half = lambda start: e.select("vec_id", F.slice("embedding", start, 32).alias("embedding"))
+    lists = [ve.nearest(d.where("vec_id % 20 = 0"), d, 50).select("query", "id", (1 / (60 + F.col("rank"))).alias("s")) for d in (half(1), half(33))]
+    s = lists[0].union(lists[1]).groupBy("query", "id").agg(F.round(F.sum("s"), 12).alias("s"))
+    return s.select("query", "id", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "id")).alias("rank")).where("rank <= 5")
 
 
 @query("idn30_name_vote", f"{_Q}, m AS (SELECT query, label AS name, min(1 - sim) AS d FROM n GROUP BY 1, 2) SELECT query, first(name ORDER BY d, name) AS name, round(min(d), 6) AS dist FROM m GROUP BY query HAVING min(d) <= 0.75")

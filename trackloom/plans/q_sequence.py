@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
+from trackloom.operators import joins as jn
 from trackloom.operators import observations as ob
 from trackloom.operators import sequence as sq
 from trackloom.operators import visits as vi
@@ -174,13 +175,11 @@ def id_hysteresis(spark, sf):
     return sq.hysteresis(rows, ["camera", "gid"], "value", 2).select("event_id", "value", "held")
 
 
-@query("win24_confirm_colocation", f"""WITH {OBS}, f AS (SELECT DISTINCT us // 21600000000 AS tick, gid FROM o WHERE gid < 40), t AS (SELECT tick, row_number() OVER (ORDER BY tick) AS n FROM (SELECT DISTINCT tick FROM f)),
-p AS (SELECT a.gid AS a, b.gid AS b, tick, n FROM f a JOIN f b USING (tick) JOIN t USING (tick) WHERE a.gid < b.gid), r AS (SELECT *, n - row_number() OVER (PARTITION BY a, b ORDER BY n) AS run FROM p),
-k AS (SELECT *, row_number() OVER (PARTITION BY a, b, run ORDER BY n) AS k FROM r) SELECT a, b, tick FROM k WHERE k = 3""")
+@query("win24_confirm_colocation", f"""WITH {OBS}, f AS (SELECT us // 86400000000 AS tick, gid, x, y FROM o), p AS (SELECT DISTINCT a.gid AS a, b.gid AS b, tick FROM f a JOIN f b USING (tick) WHERE a.gid < b.gid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.1 * 0.1),
+r AS (SELECT *, tick - row_number() OVER (PARTITION BY a, b ORDER BY tick) AS run FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY a, b, run ORDER BY tick) AS k FROM r) SELECT a, b, tick FROM k WHERE k = 3""")
 def confirm(spark, sf):
-    rows = ob.frames(obs(spark, sf).where("gid < 40"), 21_600).select(F.col("frame").alias("tick"), "gid").distinct()
-    pairs = rows.alias("p").join(rows.alias("q"), "tick").where("p.gid < q.gid").select(F.col("p.gid").alias("a"), F.col("q.gid").alias("b"), "tick")
-    return sq.confirmed_pairs(pairs, rows.select("tick").distinct(), 3)
+    rows = ob.frames(obs(spark, sf), 86_400).withColumnRenamed("frame", "tick")
+    return sq.confirmed_pairs(jn.near_pairs(rows, ["tick"], "gid", 0.1), 3)
 
 
 @query("win25_camera_history", f"""WITH {OBS}, c AS (SELECT *, lag(camera) OVER (PARTITION BY gid ORDER BY us, event_id) AS p FROM o)
