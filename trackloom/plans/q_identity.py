@@ -161,7 +161,7 @@ def deny_list(spark, sf):
 
 
 def tracked(spark, sf, make):
-    rows = ob.frames(boxed(spark, sf), 6 * 3600).select("camera", "frame", "event_id", "x1", "y1", "x2", "y2", F.col("quality").alias("score"))
+    rows = ob.frames(boxed(spark, sf), 6 * 3600).select("camera", "frame", "event_id", "x1", "y1", "x2", "y2", F.col("quality").alias("score"), (F.col("k") % 2).alias("class"))
     return trackers.track(rows, make)
 
 
@@ -170,6 +170,16 @@ def centroid(spark, sf):
     return tracked(spark, sf, trackers.Centroid)
 
 
+@query("trk02_tracker_stage")
+def stage(spark, sf):
+    """Every fifth frame goes without detections."""
+    rows = ob.frames(boxed(spark, sf), 6 * 3600).select("camera", "frame", "event_id", "x1", "y1", "x2", "y2", F.col("quality").alias("score"), (F.col("k") % 2).alias("class"))
+    empty = F.lit(None).cast("double")
+    skipped = rows.where("frame % 5 = 0").select("camera", "frame").distinct().select("camera", "frame", F.lit(None).cast("bigint").alias("event_id"), *[empty.alias(c) for c in ("x1", "y1", "x2", "y2", "score")], F.lit(None).cast("bigint").alias("class"))
+    found = trackers.track_stage(rows.where("frame % 5 <> 0").unionByName(skipped))
+    return found.select("camera", "frame", "event_id", "track", "predicted", "missed", "hits", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 @query("trk03_iou_tracker")
 def greedy(spark, sf):
     return tracked(spark, sf, trackers.Greedy)
@@ -185,6 +195,14 @@ def two_stage(spark, sf):
     return tracked(spark, sf, lambda: trackers.TwoStage(high=0.3, new=0.35, low=0.05))
 
 
+@query("trk06_appearance_tracker")
+def appearance(spark, sf):
+    """Rows without a vector go by overlap, as all rows of their frame do."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("v"))
+    rows = ob.frames(boxed(spark, sf), 6 * 3600).select("camera", "frame", "event_id", "x1", "y1", "x2", "y2", F.col("quality").alias("score"))
+    return trackers.track(rows.join(v, "event_id", "left"), trackers.Appearance)
+
+
 @query("trk07_duplicate_suppression")
 def suppression(spark, sf):
     f = ob.frames(boxed(spark, sf), 6 * 3600)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from trackloom.functions import geometry as g
 from trackloom.functions import vectors as ve
 from trackloom.operators import assignment
+from trackloom.operators import flicker as fl
 from trackloom.operators import observations as ob
-from trackloom.operators import sequence as sq
 from trackloom.plans.catalog import BOXES, OBS, query, table
 from trackloom.plans.q_geometry import boxed, obs
 from trackloom.plans.q_history import _MOVES, moves
@@ -85,37 +85,13 @@ def gid_noise(spark, sf):
     return t.agg(F.count("*").alias("gids"), F.count_if(F.col("n") < 15).alias("short"), F.count_if(F.col("c") > 1).alias("multi"))
 
 
-def flicker_step(iou_link: float = 0.3, max_gap: int = 2):
-    """Greedy re-link of boxes to chains by overlap; gives the label before each linked box."""
-
-    def step(chains, row: dict):
-        box = (row["x1"], row["y1"], row["x2"], row["y2"])
-        chains = [c for c in chains if row["frame"] - c["frame"] <= max_gap]
-        best, at = iou_link, None
-        for i, c in enumerate(chains):
-            if c["frame"] == row["frame"]:
-                continue
-            a = c["box"]
-            both = max(0.0, min(a[2], box[2]) - max(a[0], box[0])) * max(0.0, min(a[3], box[3]) - max(a[1], box[1]))
-            union = (a[2] - a[0]) * (a[3] - a[1]) + (box[2] - box[0]) * (box[3] - box[1]) - both
-            score = both / union if union > 0 else 0.0
-            if score >= best and (at is None or score > best):
-                best, at = score, i
-        if at is None:
-            return [*chains, {"frame": row["frame"], "box": box, "g": row["g"], "n": 1}], []
-        old = chains[at]
-        made = [{"camera": row["camera"], "event_id": row["event_id"], "before": old["g"], "now": row["g"], "length": old["n"] + 1}]
-        chains[at] = {"frame": row["frame"], "box": box, "g": row["g"], "n": old["n"] + 1}
-        return chains, made
-
-    return step
-
-
 @query("agg18_flicker")
 def flicker(spark, sf):
-    rows = ob.frames(boxed(spark, sf)).withColumn("g", (F.col("gid") + F.col("k") % 3) % 50).select("camera", "frame", "event_id", "g", "x1", "y1", "x2", "y2")
-    linked = sq.fold(rows, ["camera"], ["frame", "event_id"], list, flicker_step(), "camera string, event_id bigint, before bigint, now bigint, length bigint")
-    return linked.groupBy("camera").agg(F.count("*").alias("links"), F.count_if((F.col("before") != F.col("now")) & (F.col("length") >= 3)).alias("changes"))
+    """Labels are identities, or the track's own (T) where it has none yet."""
+    g = (F.col("gid") + F.col("k") % 3) % 50
+    label = F.when(F.col("k") % 7 == 0, F.concat(F.lit("T"), F.col("gid"))).otherwise(F.concat(F.lit("P"), g))
+    rows = ob.frames(boxed(spark, sf)).select("camera", "frame", "event_id", F.floor(F.col("gid") / 3).alias("track"), label.alias("label"), "x1", "y1", "x2", "y2")
+    return fl.report(fl.paths(rows))
 
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, vec_id % 3 AS cam FROM embeddings)"
