@@ -13,6 +13,7 @@ from trackloom.functions import scalars as sc
 from trackloom.functions import vectors as ve
 from trackloom.operators import identity as idn
 from trackloom.operators import joins as jn
+from trackloom.operators import indexing as ix
 from trackloom.operators import plates, trackers
 from trackloom.operators.assignment import hungarian
 from trackloom.sources import readers as rd
@@ -143,8 +144,72 @@ def test_fan_out_feeds_all_sinks_and_raises_once(spark, tmp_path):
         sk.fan_out({"bad": broken, "ok": lambda d, b: seen.append(d.count())})(df, 0)
     assert seen == [3]
     sk.from_config([{"type": "json", "path": str(tmp_path / "out")}, {"type": "nonsense"}, {"type": "mqtt", "enabled": False}])(sk.envelope(df, ["id"]), 0)
-    lines = [json.loads(json.loads(x)["value"]) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
+    lines = [json.loads(json.loads(x)["value"]) for p in (tmp_path / "out").rglob("*.json") for x in p.read_text().splitlines()]
     assert sorted(x["message_id"] for x in lines) == ["c:0", "c:1", "c:2"] and {x["schema_version"] for x in lines} == {"5.0"}
+    sk.json_log(str(tmp_path / "out"))(sk.envelope(df, ["id"]), 0)  # a batch that comes again
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_brokers_get_one_connection_for_a_partition(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def connect():
+        import uuid
+
+        f = open(f"{folder}/{uuid.uuid4().hex}", "w")
+        return lambda r: f.write(f"{r['id']}\n"), f.close
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        sk.per_partition(connect)(spark.range(0, 20, 1, 2).union(spark.range(0)), 0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = list(tmp_path.iterdir())
+    assert len(files) == 2 and sorted(int(x) for f in files for x in f.read_text().split()) == list(range(20))
+
+
+def test_track_events_leave_out_face_files_alone(spark, tmp_path):
+    for name in ("front_gate", "f", "face", "facade", "face_a", "cam1"):
+        (tmp_path / f"{name}.csv").write_text(f"cam,f,gid,tid,x1,y1,x2,y2\n{name},1,7,3,0,0,1,1\n")
+    assert {r["camera"] for r in rd.track_events(spark, str(tmp_path)).collect()} == {"front_gate", "f", "face", "facade", "cam1"}
+
+
+def test_paths_stay_below_their_root(tmp_path):
+    (tmp_path / "root/sub").mkdir(parents=True)
+    (tmp_path / "rooted").mkdir()
+    (tmp_path / "root/link").symlink_to(tmp_path / "rooted")
+    root = str(tmp_path / "root")
+    assert rd.is_below(f"{root}/sub/x", root) and rd.is_below(root, root)
+    assert not rd.is_below(f"{root}/../rooted", root) and not rd.is_below(f"{root}/link/x", root) and not rd.is_below("/", root)
+
+
+def test_vectors_as_bytes(spark):
+    df = spark.createDataFrame([(1, [1.0, -2.5]), (2, None), (3, [])], "id int, v array<float>")
+    got = {r["id"]: r for r in df.select("id", "v", ve.to_blob(F.col("v")).alias("b")).select("id", "b", ve.from_blob(F.col("b")).alias("w")).collect()}
+    assert bytes(got[1]["b"]) == np.array([1.0, -2.5], "<f4").tobytes() and got[1]["w"] == [1.0, -2.5]
+    assert got[2]["b"] is None and got[2]["w"] is None and got[3]["w"] == []
+    assert df.limit(1).select(ve.from_blob(F.unhex(F.lit("0102"))).alias("w")).first()["w"] is None
+
+
+def test_index_steps_take_the_latest_rows_and_end(spark, tmp_path):
+    visits = spark.createDataFrame([(i, 100 - i) for i in range(5)] + [(None, 999)], "best_event long, us_end long")
+    path = str(tmp_path / "index")
+    spark.createDataFrame([(0, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(path)
+
+    def embed(todo):  # the picture of visit 2 is gone
+        return todo.where("best_event <> 2").select(F.col("best_event").alias("vec_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
+
+    assert [ix.index_step(visits, path, embed, 2, limit=2) for _ in range(4)] == [2, 2, 0, 0]
+    index = spark.read.parquet(path)
+    assert {r["vec_id"]: r["embedding"] for r in index.collect()} == {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 1.0], 4: [0.0, 1.0]}
+    asked = spark.createDataFrame([(-1, [-1.0, -1.0])], "vec_id long, embedding array<float>")
+    assert {r["id"] for r in ix.search(asked, index).collect()} == {0, 1, 3, 4}
+
+
+def test_ages_by_either_clock(spark):
+    rows = spark.createDataFrame([("a", 1_000_000), ("a", 5_000_000), ("b", 2_000_000)], "camera string, us long")
+    assert sorted((r["camera"], r["age_s"]) for r in ix.age_stamp(rows).collect()) == [("a", 0.0), ("a", 4.0), ("b", 0.0)]
+    assert all(r["age_s"] > 1e9 for r in ix.age_stamp(rows, "wall").collect())
 
 
 def test_versions(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,32 @@ def fused_distance(app: Column, face: Column, gait: Column, limits: tuple[float,
     return part(app, limits[0], 1 - f - w) + part(face, limits[1], f) + part(gait, limits[2], w)
 
 
+def to_blob(v: Column) -> Column:
+    """Vectors as the bytes of their 32-bit floats, least byte first."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return run(v)
+
+
+def from_blob(b: Column) -> Column:
+    """The vectors of such bytes; null if they aren't a whole number of floats."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<float>")
+    def run(b: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))
+
+    return run(b)
+
+
 def _blocks(df: DataFrame, id_col: str, vec_col: str, side: str) -> DataFrame:
     """Rows of up to BLOCK vectors, each partition by itself."""
 

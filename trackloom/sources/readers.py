@@ -19,6 +19,10 @@ ALIASES = {
 }
 
 
+#: CSV files whose names don't begin with ``face_``; globs have no plain way to say that.
+NOT_FACES = "{[!f]*,f[!a]*,fa[!c]*,fac[!e]*,face[!_]*,f,fa,fac,face}.csv"
+
+
 def observations_of(raw: DataFrame) -> DataFrame:
     """Log rows as observations: bound by stable_id where there is one; quality defaults to 1;
     a missing gid stays null; the raw id is kept."""
@@ -32,9 +36,18 @@ def observation_log(spark: SparkSession, path: str) -> DataFrame:
     return observations_of(spark.read.schema(OBSERVATION).option("mode", "DROPMALFORMED").json(path))
 
 
-def observation_stream(spark: SparkSession, folder: str, files: int = 64) -> DataFrame:
-    """New files of a folder of logs; the checkpoint keeps what was read."""
-    return observations_of(spark.readStream.schema(OBSERVATION).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files).json(folder))
+def observation_stream(spark: SparkSession, folder: str, files: int = 64, since: str | None = None) -> DataFrame:
+    """New files of a folder of logs; the checkpoint keeps what was read. With ``since`` (a time as
+    ``2026-01-31T12:00:00``), files last changed before it count as read, so a stream can start
+    at the present end of a folder."""
+    raw = spark.readStream.schema(OBSERVATION).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files)
+    return observations_of((raw.option("modifiedAfter", since) if since else raw).json(folder))
+
+
+def is_below(path: str, root: str) -> bool:
+    """Whether a path, links followed, stays under a root."""
+    real, top = os.path.realpath(path), os.path.realpath(root)
+    return real == top or real.startswith(top.rstrip(os.sep) + os.sep)
 
 
 def aliased(df: DataFrame, wanted: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
@@ -47,7 +60,7 @@ def aliased(df: DataFrame, wanted: dict[str, tuple[str, ...]] = ALIASES) -> Data
 def track_events(spark: SparkSession, path: str) -> DataFrame:
     """Track CSVs of a file or folder (files named ``face_*`` are left out). Rows whose gid is
     not a number go; the label is that of the file, else ``P<gid>``, or ``T`` without one."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "[!f]*.csv" if os.path.splitext(path)[1] != ".csv" else "*.csv").csv(path)
+    raw = spark.read.option("header", True).option("pathGlobFilter", NOT_FACES if os.path.splitext(path)[1] != ".csv" else "*.csv").csv(path)
     rows = aliased(raw)
     number = lambda c, k: F.col(c).try_cast(k).alias(c)
     rows = rows.select("camera", number("frame", "bigint"), number("gid", "bigint"), number("track", "bigint"), *[number(c, "double") for c in ("x1", "y1", "x2", "y2")], "label").where("gid is not null")

@@ -18,7 +18,8 @@ def envelope(rows: DataFrame, body: list[str], message_type: str = "camera_analy
 
 
 def json_log(path: str) -> Writer:
-    return lambda df, batch: df.write.mode("append").json(path)
+    """JSON lines in a folder for each batch, so a batch that is repeated doesn't double its rows."""
+    return lambda df, batch: df.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def event_log(rows: DataFrame, pack: str) -> DataFrame:
@@ -36,17 +37,26 @@ def kafka(servers: str, topic: str, **options: str) -> Writer:
     return write
 
 
-def per_partition(send: Callable[[list[dict]], None]) -> Writer:
-    """For brokers without a Spark connector: ``send`` gets the rows of an Arrow batch and runs
-    on the executors. It opens its own client there."""
+def per_partition(connect: Callable[[], tuple[Callable[[dict], None], Callable[[], None]]]) -> Writer:
+    """For brokers without a Spark connector. ``connect`` runs on the executors, once for each
+    partition that has rows, and gives what sends a row and what closes the connection."""
 
     def write(df: DataFrame, batch: int) -> None:
         def run(batches):
             import pyarrow as pa
 
-            for b in batches:
-                send(b.to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["sent"])
+            sent, put, close = 0, None, None
+            try:
+                for b in batches:
+                    for row in b.to_pylist():
+                        if put is None:
+                            put, close = connect()
+                        put(row)
+                        sent += 1
+            finally:
+                if close is not None:
+                    close()
+            yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], ["sent"])
 
         df.mapInArrow(run, "sent bigint").write.format("noop").mode("overwrite").save()
 
@@ -73,43 +83,42 @@ def fan_out(writers: dict[str, Writer]) -> Writer:
     return write
 
 
-def _client(kind: str, connect: Callable[[], Callable[[dict], None]]) -> Writer:
-    def send(rows: list[dict]) -> None:
-        put = connect()
-        for r in rows:
-            put(r)
-
-    send.__name__ = kind
-    return per_partition(send)
-
-
 def redis_stream(host: str, port: int, stream: str, maxlen: int = 10_000) -> Writer:
     def connect():
         import redis  # optional client
 
         client = redis.Redis(host, port)
-        return lambda r: client.xadd(stream, {"payload": r["value"]}, maxlen=maxlen, approximate=True)
+        return lambda r: client.xadd(stream, {"payload": r["value"]}, maxlen=maxlen, approximate=True), client.close
 
-    return _client("redis", connect)
+    return per_partition(connect)
 
 
 def mqtt(host: str, port: int, topic: str, qos: int = 0, retain: bool = False) -> Writer:
     def connect():
-        from paho.mqtt import publish  # optional client
+        from paho.mqtt import client as paho  # optional client
+
+        client = paho.Client()
+        client.connect(host, port)
+        client.loop_start()
+
+        def close() -> None:
+            client.loop_stop()
+            client.disconnect()
 
-        return lambda r: publish.single(topic, r["value"], qos, retain, host, port)
+        return lambda r: client.publish(topic, r["value"], qos, retain).wait_for_publish(), close
 
-    return _client("mqtt", connect)
+    return per_partition(connect)
 
 
 def rabbit(url: str, exchange: str, routing_key: str) -> Writer:
     def connect():
         import pika  # optional client
 
-        channel = pika.BlockingConnection(pika.URLParameters(url)).channel()
-        return lambda r: channel.basic_publish(exchange, routing_key, r["value"])
+        connection = pika.BlockingConnection(pika.URLParameters(url))
+        channel = connection.channel()
+        return lambda r: channel.basic_publish(exchange, routing_key, r["value"]), connection.close
 
-    return _client("rabbit", connect)
+    return per_partition(connect)
 
 
 MAKERS = {"json": lambda c: json_log(c["path"]), "kafka": lambda c: kafka(c["servers"], c["topic"]), "eventhub": lambda c: kafka(c["servers"], c["topic"], **c.get("options", {})), "redis": lambda c: redis_stream(c["host"], int(c.get("port", 6379)), c["stream"]), "mqtt": lambda c: mqtt(c["host"], int(c.get("port", 1883)), c["topic"]), "rabbitmq": lambda c: rabbit(c["url"], c["exchange"], c.get("routing_key", ""))}
@@ -131,7 +140,8 @@ def from_config(outputs: list[dict]) -> Writer:
 
 
 def save_version(df: DataFrame, root: str) -> str:
-    """Write a whole new version and then point to it, so readers never see half of one."""
+    """Write a whole new version and then point to it in one step, so readers see the old version
+    or the new one."""
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
     spark = df.sparkSession
@@ -140,8 +150,11 @@ def save_version(df: DataFrame, root: str) -> str:
     out = fs.create(path(f"{root}/.current.tmp"), True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(path(f"{root}/current"), False)
-    fs.rename(path(f"{root}/.current.tmp"), path(f"{root}/current"))
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(path(f"{root}/.current.tmp"), path(f"{root}/current"), how)
     return version
 
 
