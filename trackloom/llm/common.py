@@ -1,14 +1,15 @@
-"""Helpers shared by the text operators: words, let-bindings, shared storage."""
+"""Helpers shared by the text operators: words, let-bindings, and the library's storage and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.components import components  # noqa: F401
+from trackloom.storage import forget, fresh_path, shared_dir, written  # noqa: F401
+
 #: White space for words; everything else belongs to a word.
 SPACES = " \t\n\x0b\f\r"
 
@@ -40,70 +41,3 @@ def free_name(df: DataFrame, *stems: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where
-    that is unset (local tests) a folder of this session."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = found.get() if found.isDefined() else None
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost
-    executors, and what made the rows runs once."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/trackloom/" in path:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected ``edges(a, b)`` of longs, as (node, component)
-    with the smallest node of each component; nodes come from edges alone.
-
-    Alternates large-star and small-star steps: each keeps the edges linear in number, and
-    the rounds grow with the logarithm of the diameter. Each round is written to the shared
-    folder. Null ends and loops are ignored; an empty input gives no rows.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        out = both.join(least, both.a == least.k).where("b > a" if large else "true")
-        made = out.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            made = made.union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
-        return made.where("a <> b").distinct()
-
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        new = written(star(star(now, True), False), "edges")
-        forget(now)
-        now = new
-        got = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(got) == mark:
-            break
-        mark = tuple(got)
-    stars = now.groupBy("a").agg(F.min("b").alias("b"))
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())

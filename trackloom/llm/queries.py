@@ -106,19 +106,19 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # every shift of every item along every document, without seeds: shifts with enough equal words
     "op6_decontaminate": r"""
-WITH b AS (SELECT min(item_id) AS item_id, t FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS t FROM benchmark) WHERE len(t) >= 8 GROUP BY t),
-d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
-bs AS (SELECT item_id, i, [t[i], t[i + 1], t[i + m], t[i + 6], t[i + 7]] AS k, m FROM (SELECT item_id, t, unnest(range(1, len(t) - 6)) AS i FROM b), (VALUES (3), (4)) v(m)),
-ds AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + m], w[i + 6], w[i + 7]] AS k, m FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8), (VALUES (3), (4)) v(m)),
-h AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, k)),
-e AS (SELECT doc_id, item_id, shift, t, w, unnest(range(greatest(1, 1 - shift), least(len(t), len(w) - shift) + 1)) AS p, least(13, len(t)) AS k
-      FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-s AS (SELECT doc_id, item_id, k, sum((t[p] = w[p + shift])::INT) OVER win AS n, count(*) OVER win AS c, p FROM e
-      WINDOW win AS (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
+WITH b AS (SELECT min(item_id) AS item_id, t, len(t) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS t FROM benchmark) WHERE len(t) > 0 GROUP BY t),
+d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents)),
+bw AS (SELECT item_id, n, unnest(t) AS word, unnest(range(1, n + 1)) AS q FROM b),
+dw AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+h AS (SELECT r, item_id, p - q AS shift FROM dw JOIN bw USING (word) GROUP BY r, item_id, p - q, n HAVING count(*) >= CASE WHEN n < 8 THEN n ELSE ceil(0.8 * least(13, n)) END),
+e AS (SELECT r, doc_id, item_id, shift, t, w, unnest(range(greatest(1, 1 - shift), least(n, len(w) - shift) + 1)) AS p, least(13, n) AS k FROM h JOIN d USING (r) JOIN b USING (item_id)),
+s AS (SELECT doc_id, item_id, k, sum((t[p] = w[p + shift])::INT) OVER win AS n, count(*) OVER win AS c FROM e
+      WINDOW win AS (PARTITION BY r, item_id, shift ORDER BY p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)),
 s2 AS (SELECT doc_id, item_id, k, n FROM s WHERE k = 13 AND c = 13
-       UNION ALL SELECT doc_id, item_id, k, sum((t[p] = w[p + shift])::INT) FROM e WHERE k < 13 GROUP BY doc_id, item_id, shift, k HAVING count(*) = k)
-SELECT doc_id, item_id, k::BIGINT AS n_compared, max(n)::BIGINT AS n_equal FROM s2 GROUP BY doc_id, item_id, k HAVING max(n) >= ceil(0.8 * k)
+       UNION ALL SELECT doc_id, item_id, k, sum((t[p] = w[p + shift])::INT) FROM e WHERE k < 13 GROUP BY r, doc_id, item_id, shift, k HAVING count(*) = k)
+SELECT doc_id, item_id, k::BIGINT AS n_compared, max(n)::BIGINT AS n_equal FROM s2 GROUP BY doc_id, item_id, k HAVING max(n) >= CASE WHEN k < 8 THEN k ELSE ceil(0.8 * k) END
 """,
     "op5_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
