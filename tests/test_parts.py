@@ -15,6 +15,7 @@ from trackloom.operators import identity as idn
 from trackloom.operators import joins as jn
 from trackloom.operators import indexing as ix
 from trackloom.operators import plates, trackers
+from trackloom.operators import zones as zn
 from trackloom.operators.assignment import hungarian
 from trackloom.sources import readers as rd
 from trackloom.sources import sinks as sk
@@ -242,3 +243,17 @@ def test_refreshing_table_follows_its_files(spark, tmp_path):
     assert table.get().count() == 2 and table.get() is table.get()
     spark.range(3).write.mode("append").parquet(f"{tmp_path}/t")
     assert table.get().count() == 5
+
+
+def test_zone_tags_equal_polygons(spark):
+    rng = random.Random(8)
+    zones = [("a", "z2", [(0.1, 0.1), (0.9, 0.2), (0.5, 0.8)]), ("a", "z1", [(0, 0), (0.5, 0), (0.5, 0.5), (0, 0.5)]), ("default", "all", [(0.2, 0.2), (0.8, 0.2), (0.8, 0.8), (0.2, 0.8)]), ("b", "line", [(0, 0), (1, 1)])]
+    rows = [(rng.choice(["a", "b", "c", None]), round(rng.random(), 1), round(rng.random(), 1)) for _ in range(300)] + [("a", None, 0.2)]
+    df = spark.createDataFrame(rows, "camera string, x double, y double")
+    tags = zn.zone_tags(zones, F.col("camera"), F.col("x"), F.col("y"))
+    every = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(z).alias("z"), g.in_polygon(F.col("x"), F.col("y"), g.polygon(p)).alias("i")) for c, z, p in zones])
+    got = df.select("camera", tags.alias("tags"), zn.in_any_zone(zones, F.col("camera"), F.col("x"), F.col("y")).alias("any"), every.alias("every")).collect()
+    for r in got:
+        own = r["camera"] if r["camera"] in ("a", "b") else "default"
+        want = sorted(e["z"] for e in r["every"] if e["c"] == own and e["i"])
+        assert r["tags"] == want and r["any"] == bool(want)

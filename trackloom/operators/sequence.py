@@ -55,6 +55,20 @@ def runs(flag: Column, window: Column) -> Column:
     return F.sum(F.when(flag == F.lag(flag).over(window), 0).otherwise(1)).over(window.rowsBetween(Window.unboundedPreceding, 0))
 
 
+HOUR = 3_600_000_000
+
+
+def _with_hours_before(rows: DataFrame, **sums: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """``rows(camera, us)`` with the hour ``__h``, and for each name an aggregate over the hours of
+    the camera before it: its value for one hour, and what joins hours. Running values of a camera
+    are then windows of an hour, and no window holds all rows of a camera."""
+    at = rows.withColumn("__h", F.floor(F.col("us") / HOUR))
+    hours = at.groupBy(F.col("camera").alias("__c"), F.col("__h").alias("__k")).agg(*[one.alias(n) for n, (one, _) in sums.items()])
+    w = Window.partitionBy("__c").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select("__c", "__k", *[join(F.col(n)).over(w).alias(n) for n, (_, join) in sums.items()])
+    return at.join(carried, F.col("camera").eqNullSafe(F.col("__c")) & (F.col("__h") == F.col("__k"))).drop("__c", "__k")
+
+
 def line_crossings(obs: DataFrame, line: tuple[float, float, float, float], in_side: str = "right") -> DataFrame:
     """Sign changes of the side along each track. A point on the line is remembered as not
     left; arriving on the line is no crossing. Adds direction and the running tally."""
@@ -63,8 +77,10 @@ def line_crossings(obs: DataFrame, line: tuple[float, float, float, float], in_s
     hit = s.where(F.col("p").isNotNull() & ((F.col("p") > 0) != (F.col("s") > 0)) & (F.col("s") != 0))
     right_in = F.lit(in_side == "right")
     hit = hit.withColumn("direction", F.when((F.col("s") < 0) == right_in, "in").otherwise("out"))
-    tally = Window.partitionBy("camera").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = lambda d: F.count_if(F.col("direction") == d).over(tally)
+    count = lambda d: F.count_if(F.col("direction") == d)
+    hit = _with_hours_before(hit, __in=(count("in"), F.sum), __out=(count("out"), F.sum))
+    hour = Window.partitionBy("camera", "__h").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    n = lambda d: F.coalesce(F.col(f"__{d}"), F.lit(0)) + count(d).over(hour)
     return hit.select("event_id", "camera", "gid", "us", "direction", n("in").alias("n_in"), n("out").alias("n_out"))
 
 
@@ -88,8 +104,10 @@ def dwells(obs: DataFrame, inside: Column, seconds: float) -> DataFrame:
 def absences(obs: DataFrame, inside: Column, seconds: float) -> DataFrame:
     """Per camera: the first tick more than ``seconds`` after the zone was last occupied, or
     after the first tick if it never was; each occupation arms it again."""
-    w = Window.partitionBy("camera").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = obs.withColumn("last", F.coalesce(F.max(F.when(inside, F.col("us"))).over(w), F.min("us").over(w)))
+    rows = _with_hours_before(obs.select("camera", "event_id", "us", inside.alias("__i")), __max=(F.max(F.when(F.col("__i"), F.col("us"))), F.max), __min=(F.min("us"), F.min))
+    w = Window.partitionBy("camera", "__h").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.greatest("__max", F.max(F.when(F.col("__i"), F.col("us"))).over(w))
+    rows = rows.withColumn("last", F.coalesce(known, F.least("__min", F.min("us").over(w))))
     late = rows.where((F.col("us") - F.col("last")) / 1e6 > seconds)
     return late.groupBy("camera", "last").agg(F.min("us").alias("us")).select("camera", "us", ((F.col("us") - F.col("last")) / 1e6).alias("empty_s"))
 

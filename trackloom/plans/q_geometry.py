@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as g
+from trackloom.functions import scalars as sc
 from trackloom.operators import observations as ob
+from trackloom.operators import zones as zn
 from trackloom.plans.catalog import BOXES, OBS, query, table
 
 ZONE = [(0.1, 0.2), (0.5, 0.05), (0.9, 0.3), (0.7, 0.95), (0.2, 0.8)]
@@ -26,19 +28,6 @@ def boxed(spark: SparkSession, sf: str) -> DataFrame:
     return ob.boxes(obs(spark, sf))
 
 
-def zone_table(spark: SparkSession) -> DataFrame:
-    rows = [(c, z, [(float(x), float(y)) for x, y in p]) for c, z, p in ZONES]
-    return spark.createDataFrame(rows, "zone_camera string, zone string, poly array<struct<x:double,y:double>>")
-
-
-def own_zones(rows: DataFrame, zones: DataFrame) -> DataFrame:
-    """Each row with each zone of its camera, or each default zone if the camera has none. The
-    zone table is configuration; its camera set travels as a literal array."""
-    cameras = [r[0] for r in zones.select("zone_camera").distinct().collect()]
-    key = F.when(F.col("camera").isin(cameras), F.col("camera")).otherwise("default")
-    return rows.withColumn("__k", key).join(zones, F.col("__k") == F.col("zone_camera")).drop("__k", "zone_camera")
-
-
 def sql_edges(points: list) -> str:
     return ", ".join(f"({points[i][0]}::DOUBLE, {points[i][1]}::DOUBLE, {points[i - 1][0]}::DOUBLE, {points[i - 1][1]}::DOUBLE)" for i in range(len(points)))
 
@@ -218,15 +207,13 @@ def _sql_zones(what: str) -> str:
 
 @query("flt03_in_any_zone", f"{_sql_zones('event_id')} SELECT DISTINCT event_id FROM z")
 def in_any_zone(spark, sf):
-    zones = zone_table(spark).groupBy("zone_camera").agg(F.collect_list("poly").alias("polys"))
-    return own_zones(obs(spark, sf), zones).where(F.exists("polys", lambda p: g.in_polygon(F.col("x"), F.col("y"), p))).select("event_id")
+    return obs(spark, sf).where(zn.in_any_zone(ZONES, F.col("camera"), F.col("x"), F.col("y"))).select("event_id")
 
 
 @query("flt04_zone_tags", f"{_sql_zones('event_id')} SELECT event_id, string_agg(zone, ',' ORDER BY zone) AS zones FROM z GROUP BY event_id")
 def zone_tags(spark, sf):
-    zones = zone_table(spark).groupBy("zone_camera").agg(F.sort_array(F.collect_list(F.struct("zone", "poly"))).alias("all"))
-    tags = F.transform(F.filter("all", lambda z: g.in_polygon(F.col("x"), F.col("y"), z["poly"])), lambda z: z["zone"])
-    return own_zones(obs(spark, sf), zones).select("event_id", F.array_join(tags, ",").alias("zones")).where("zones <> ''")
+    tags = zn.zone_tags(ZONES, F.col("camera"), F.col("x"), F.col("y"))
+    return obs(spark, sf).select("event_id", F.array_join(tags, ",").alias("zones")).where("zones <> ''")
 
 
 @query("flt05_plate_roi", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false)) t(id, kept)")
@@ -283,13 +270,12 @@ def live_cameras(spark, sf):
 @query("flt15_plate_format", "SELECT * FROM (VALUES ('KA01AB1234', true), ('22BH1234A', true), ('KA1234', false), ('ABC', false)) t(plate, ok)")
 def plate_format(spark, sf):
     rows = spark.createDataFrame([("KA01AB1234",), ("22BH1234A",), ("KA1234",), ("ABC",)], "plate string")
-    # fixed value: the registration format
-    return rows.select("plate", F.col("plate").rlike(r"^(?:[A-Z]{2}\d{1,2}[A-Z]{1,3}\d{1,4}|\d{2}BH\d{4}[A-Z]{1,2})$").alias("ok"))
+    return rows.select("plate", F.col("plate").rlike(sc.PLATE).alias("ok"))
 
 
 @query("jn10_observation_zone", f"{_sql_zones('event_id')} SELECT event_id, zone FROM z")
 def observation_zone(spark, sf):
-    return own_zones(obs(spark, sf), zone_table(spark)).where(g.in_polygon(F.col("x"), F.col("y"), F.col("poly"))).select("event_id", "zone")
+    return obs(spark, sf).select("event_id", F.explode(zn.zone_tags(ZONES, F.col("camera"), F.col("x"), F.col("y"))).alias("zone"))
 
 
 @query("jn11_observation_line", f"""WITH {OBS}, l(camera, line, ax, ay, bx, by_) AS (VALUES ('click', 'gate', 0.5::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE), ('view', 'fence', 0.1, 0.5, 0.9, 0.6))
