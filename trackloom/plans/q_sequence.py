@@ -169,7 +169,12 @@ def alert_window(spark, sf):
     return rows.join(F.broadcast(now)).where((F.col("now") - F.col("us")) / 1e6 <= DAY).select("event_id")
 
 
-@query("win23_id_hysteresis")
+_BY_ONE = "q AS (SELECT event_id, camera, gid, k % {m} AS v, row_number() OVER (PARTITION BY camera, gid ORDER BY us, event_id) AS n FROM o)"
+
+
+@query("win23_id_hysteresis", f"""WITH RECURSIVE {OBS}, {_BY_ONE.format(m=3)}, w AS (SELECT camera, gid, n, event_id, v, v AS held, NULL::BIGINT AS rival, 0 AS c FROM q WHERE n = 1
+UNION ALL SELECT q.camera, q.gid, q.n, q.event_id, q.v, CASE WHEN q.v <> w.held AND q.v = w.rival AND w.c + 1 >= 2 THEN q.v ELSE w.held END, CASE WHEN q.v = w.held OR q.v = w.rival AND w.c + 1 >= 2 THEN NULL ELSE q.v END,
+CASE WHEN q.v = w.held THEN 0 WHEN q.v = w.rival THEN CASE WHEN w.c + 1 >= 2 THEN 0 ELSE w.c + 1 END ELSE 1 END FROM w JOIN q ON q.camera = w.camera AND q.gid = w.gid AND q.n = w.n + 1) SELECT event_id, v AS value, held FROM w""")
 def id_hysteresis(spark, sf):
     rows = obs(spark, sf).select("camera", "gid", "us", "event_id", (F.col("k") % 3).alias("value"))
     return sq.hysteresis(rows, ["camera", "gid"], "value", 2).select("event_id", "value", "held")
@@ -197,7 +202,10 @@ def trajectory(spark, sf):
     return obs(spark, sf).select("gid", "event_id", n.alias("n")).where("n <= 12")
 
 
-@query("idn46_confirm_counter")
+@query("idn46_confirm_counter", f"""WITH RECURSIVE {OBS}, {_BY_ONE.format(m=2)}, w AS (SELECT camera, gid, n, event_id, NULL::BIGINT AS held, v AS candidate, 1 AS c FROM q WHERE n = 1
+UNION ALL SELECT s.camera, s.gid, s.n, s.event_id, CASE WHEN same THEN held WHEN c2 >= 3 THEN who ELSE held END, CASE WHEN same THEN candidate WHEN c2 >= 3 OR c2 <= 0 THEN NULL ELSE who END, CASE WHEN same THEN c WHEN c2 >= 3 OR c2 <= 0 THEN 0 ELSE c2 END
+FROM (SELECT q.camera, q.gid, q.n, q.event_id, w.held, w.candidate, w.c, coalesce(q.v = w.held, false) AS same, coalesce(w.candidate, q.v) AS who, CASE WHEN w.candidate IS NULL THEN 1 WHEN q.v = w.candidate THEN w.c + 1 ELSE w.c - 1 END AS c2
+FROM w JOIN q ON q.camera = w.camera AND q.gid = w.gid AND q.n = w.n + 1) s) SELECT event_id, held FROM w""")
 def confirm_counter(spark, sf):
     rows = obs(spark, sf).select("camera", "gid", "us", "event_id", (F.col("k") % 2).alias("value"))
     return sq.confirmed_counter(rows, ["camera", "gid"], "value").select("event_id", "held")
