@@ -10,6 +10,7 @@ from trackloom.functions import vectors as ve
 from trackloom.operators import assignment
 from trackloom.operators import flicker as fl
 from trackloom.operators import observations as ob
+from trackloom.operators import vector_index as vx
 from trackloom.plans.catalog import BOXES, OBS, query, table
 from trackloom.plans.q_geometry import boxed, obs
 from trackloom.plans.q_history import _MOVES, moves
@@ -178,6 +179,15 @@ def nearest5(spark, sf):
     return near(spark, sf, 5).select("query", "id", "rank", F.round("sim", 6).alias("sim"))
 
 
+@query("jn18_indexed_recall")
+def indexed_recall(spark, sf):
+    """The index's recall of the ten nearest rows, at three quarters of its lists: these vectors are
+    random, which is the worst case for lists."""
+    e = table(spark, sf, "embeddings")
+    q, centres = e.where("vec_id % 20 = 0"), vx.fit_centres(e, 16)
+    return vx.recall(vx.search(q, vx.listed(e, centres), centres, 10, probes=12), ve.nearest(q, e, 10))
+
+
 @query("jn05_filter_after_topk", f"{_Q} SELECT query, id FROM n WHERE rank <= 12 AND id % 3 = 1")
 def filter_after(spark, sf):
     return near(spark, sf, 12).where("id % 3 = 1").select("query", "id")
