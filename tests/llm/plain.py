@@ -1,4 +1,4 @@
-"""Plain versions of pipeline stages, one document at a time, to hold the operators against."""
+"""Plain versions of the corpus stages, one document at a time, to hold the operators against."""
 
 import hashlib
 import re

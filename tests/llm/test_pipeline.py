@@ -1,4 +1,4 @@
-"""The pipeline against plain versions of its stages."""
+"""The stages together against plain versions of each."""
 
 import zlib
 from collections import defaultdict
@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import plain
-from trackloom.llm import pii, queries, simhash_dedup
+from tests.llm.test_near_copies import expected
+from trackloom.llm import pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,22 +26,16 @@ def test_pipeline_equals_the_plain_version(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = {i: t for i, t in docs.items() if plain.keeps(t)}
-    prints, first = {i: simhash_dedup.fingerprint_of(t) for i, t in docs.items()}, {}
-    for i in sorted(docs):
-        group, frontier = {i}, [i]
-        while frontier:
-            a = frontier.pop()
-            near = {b for b in docs if b not in group and (prints[a] ^ prints[b]).bit_count() <= 2}
-            group |= near
-            frontier += near
-        first[i] = min(group)
+    first = expected(docs)
     docs = {i: t for i, t in docs.items() if first[i] == i and not plain.leaks(t, items)}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = set()
     for i, t in docs.items():
         ids = np.array([*tokenizer.encode(plain.pseudonym(t, pii.DEMO_KEY), add_special_tokens=False).ids, 1], "<u4")
         want |= {(i, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048)}
+    spark.conf.set("trackloom.pii.secret", pii.DEMO_KEY)
     rows = corpus_pipeline.run(spark, SF).collect()
+    spark.conf.unset("trackloom.pii.secret")
     assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows} == want and len(rows) == len(want)
     seqs = defaultdict(list)
     for r in rows:
