@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,12 +202,25 @@ def test_index_steps_take_the_latest_rows_and_end(spark, tmp_path):
         return todo.where("best_event <> 2").select(F.col("best_event").alias("vec_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
 
     assert [ix.index_step(visits, path, embed, 2, limit=2) for _ in range(4)] == [2, 2, 0, 0]
+    types = {str(pq.read_schema(f).field("embedding").type.value_type) + str(pq.read_schema(f).field("vec_id").type) for f in (tmp_path / "index").glob("*.parquet")}
+    assert types == {"floatint64"}
     index = spark.read.parquet(path)
     assert {r["vec_id"]: r["embedding"] for r in index.collect()} == {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 1.0], 4: [0.0, 1.0]}
     asked = spark.createDataFrame([(-1, [-1.0, -1.0])], "vec_id long, embedding array<float>")
     assert {r["id"] for r in ix.search(asked, index).collect()} == {0, 1, 3, 4}
 
 
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_index_takes_vectors_of_any_number_type(spark, kind):
+    todo = spark.createDataFrame([(1, 5), (2, 6)], "best_event int, us_end long")
+    made = todo.where("best_event = 1").select(F.col("best_event").alias("vec_id"), F.array(F.lit(0), F.lit(1)).cast(f"array<{kind}>").alias("embedding"))
+    got = ix.indexed(todo, lambda _: made, 2)
+    assert got.schema.simpleString() == "struct<vec_id:bigint,embedding:array<float>>"
+    assert {r["vec_id"]: r["embedding"] for r in got.collect()} == {1: [0.0, 1.0], 2: [0.0, 0.0]}
+    with pytest.raises(Exception, match="3 numbers"):
+        ix.indexed(todo, lambda _: made, 3).collect()
+
+
 def test_ages_by_either_clock(spark):
     rows = spark.createDataFrame([("a", 1_000_000), ("a", 5_000_000), ("b", 2_000_000)], "camera string, us long")
     assert sorted((r["camera"], r["age_s"]) for r in ix.age_stamp(rows).collect()) == [("a", 0.0), ("a", 4.0), ("b", 0.0)]

@@ -20,10 +20,14 @@ def pending(visits: DataFrame, index: DataFrame, limit: int = 32, id_col: str =
 def indexed(todo: DataFrame, embed: Callable[[DataFrame], DataFrame], dimensions: int, id_col: str = "best_event") -> DataFrame:
     """(vec_id, embedding) of pending rows. ``embed`` gives (vec_id, embedding) of those whose
     picture is there; the others get a vector of zeros, which no search finds and which keeps
-    them from being tried again."""
+    them from being tried again. Vectors of any numeric type become floats, the index's own type;
+    one of another length than ``dimensions`` fails the step before anything is written."""
     zero = F.array_repeat(F.lit(0.0), dimensions).cast("array<float>")
-    made = embed(todo).select("vec_id", F.col("embedding").alias("v"))
-    return todo.select(F.col(id_col).alias("vec_id")).distinct().join(made, "vec_id", "left").select("vec_id", F.coalesce("v", zero).alias("embedding"))
+    made = embed(todo).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    other = F.raise_error(F.concat(F.lit(f"a vector must have {dimensions} numbers, one has "), F.size("v").cast("string"))).cast("array<float>")
+    checked = F.when(F.col("v").isNull(), zero).when(F.size("v") == dimensions, F.col("v")).otherwise(other)
+    ids = todo.select(F.col(id_col).cast("bigint").alias("vec_id")).distinct()
+    return ids.join(made, "vec_id", "left").select("vec_id", checked.alias("embedding"))
 
 
 def index_step(visits: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], dimensions: int, limit: int = 32) -> int:
