@@ -92,7 +92,30 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import mixing as q
+
+    found = q.copies(_docs(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import conversation_repair as q
+
+    return q.repair(q.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm import lexical_search as q
+
+    found = q.search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {
+    "op11_source_mix": op11_source_mix,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op10_language_id": op10_language_id,
@@ -106,6 +129,32 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # ranks in one window for each source
+    "op11_source_mix": r"""
+WITH s AS (SELECT doc_id, coalesce('0' || source, '1') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+t AS (SELECT k, sum(size)::BIGINT AS source_size FROM s GROUP BY k),
+w AS (SELECT k, source_size, CASE (row_number() OVER (ORDER BY k) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2.0::DOUBLE AS cap FROM t),
+l AS (SELECT k, source_size, weight, cap, cap / weight AS ratio,
+        ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / (sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
+g AS (SELECT k, source_size, coalesce(least(cap, max(level) FILTER (level < ratio) OVER () * weight), cap) AS target,
+        ('0x' || substr(md5('11:' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM l),
+r AS (SELECT doc_id, k, size, row_number() OVER (PARTITION BY k ORDER BY size, doc_id NULLS FIRST) AS n FROM s)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN source_size = 0 THEN 0 ELSE floor(u + target / source_size * n) - floor(u + target / source_size * (n - 1)) END * size)::BIGINT AS taken FROM r JOIN g USING (k)
+""",
+    # every term of every document, joined with every item's terms
+    "op13_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS t FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+tf AS (SELECT r, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term),
+i AS (SELECT DISTINCT q, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS q, item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS t FROM benchmark)),
+s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN w USING (term), c GROUP BY q, item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+""",
     # every shift of every item along every document, without seeds: shifts with enough equal words
     "op6_decontaminate": r"""
 WITH b AS (SELECT min(item_id) AS item_id, t, len(t) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS t FROM benchmark) WHERE len(t) > 0 GROUP BY t),
