@@ -223,6 +223,36 @@ def set_distances(vectors: DataFrame, set_col: str, k: int = 3, id_col: str = "v
     return few.join(mean, ["la", "lb"]).select("la", "lb", "least", "mean", "topk")
 
 
+def pairs_within(vectors: DataFrame, bar: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(a, b, d): pairs of ids, a < b, of which some vectors are at a cosine distance of ``bar`` at
+    most, with the least. An id may have several vectors; a pair of blocks gives one row for each
+    pair of ids."""
+    q, g = _blocks(vectors, id_col, vec_col, "q"), _blocks(vectors, id_col, vec_col, "g")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(ids, raw):
+            m = np.frombuffer(raw).reshape(len(ids), -1)
+            return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                qi, gi = np.array(row["q_ids"], np.int64), np.array(row["g_ids"], np.int64)
+                d = 1 - unit(qi, row["q_m"]) @ unit(gi, row["g_m"]).T
+                at = np.nonzero((d <= bar) & (qi[:, None] < gi[None, :]))
+                a, b, d = qi[at[0]], gi[at[1]], d[at]
+                order = np.lexsort((d, b, a))
+                a, b, d = a[order], b[order], d[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(d[new])], ["a", "b", "d"])
+
+    met = q.crossJoin(g).mapInArrow(run, "a bigint, b bigint, d double")  # of blocks, not of rows
+    return met.groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
 def similarity_counts(queries: DataFrame, gallery: DataFrame, set_col: str, bins: int = 1000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(same, bin, n, total): for the pairs of a query and a gallery row of a greater id, how many of
     equal and of different sets have a similarity of bin / bins, rounded, and its sum."""

@@ -73,12 +73,6 @@ def merge_verdicts(spark, sf):
     return idn.verdicts(asked, vi.visits(obs(spark, sf)), topology)
 
 
-@query("idn10_merge_log", "SELECT * FROM (VALUES (2::BIGINT, 1::BIGINT), (3, 1), (5, 4)) t(id, final)")
-def merge_log(spark, sf):
-    log = [(1, 2, "plausible"), (2, 3, "implausible"), (4, 5, "plausible"), (1, 4, "impossible")]
-    return spark.createDataFrame(sorted(idn.canonical(log).items()), "id bigint, final bigint")
-
-
 def close_pairs(spark, sf):
     """Each row with its three nearest rows."""
     e = table(spark, sf, "embeddings")
@@ -98,16 +92,6 @@ def linked(spark, sf):
     return idn.linked_clusters(close_pairs(spark, sf))
 
 
-@query("idn15_mapper_pass", "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT)) t(survivor, member)")
-def mapper_pass(spark, sf):
-    """Clusters in which two members share a camera are dropped."""
-    edges = spark.createDataFrame([(1, 2, 0.1), (5, 6, 0.1)], "a bigint, b bigint, d double")
-    cams = spark.createDataFrame([(1, "x"), (2, "y"), (5, "x"), (6, "x")], "member bigint, camera string")
-    found = idn.linked_clusters(edges).join(cams, "member")
-    bad = found.groupBy("survivor", "camera").agg(F.count_distinct("member").alias("n")).where("n > 1").select("survivor").distinct()
-    return found.join(bad, "survivor", "left_anti").where("member <> survivor").select("survivor", "member")
-
-
 @query("idn17_cannot_link", f"WITH {OBS}, f AS (SELECT DISTINCT camera, us // {HOUR} AS frame, gid FROM o) SELECT DISTINCT a.gid AS ga, b.gid AS gb FROM f a JOIN f b USING (camera, frame) WHERE a.gid < b.gid")
 def cannot_link(spark, sf):
     f = ob.frames(obs(spark, sf)).select("camera", "frame", "gid").distinct()

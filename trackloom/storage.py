@@ -43,3 +43,18 @@ def forget(df: DataFrame) -> None:
         if "/trackloom/" in path:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+class Scope:
+    """Tables that are only needed for a while: made by :meth:`written`, deleted by :meth:`close`."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(written(df, name))
+        return self.made[-1]
+
+    def close(self) -> None:
+        while self.made:
+            forget(self.made.pop())
