@@ -19,7 +19,8 @@ an end, elements that are never closed, end tags of nothing. Labelled pages are
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined by one space.
 
-Defined cases: a null, empty or tag-only page has an empty text; pages of any length are read
+Defined cases: a null, empty or tag-only page has an empty text; where no word scores positive, the
+scan goes over sentences without links that stand in no telling element; pages of any length are read
 whole; of runs with equal sums the first counts; equal rows give equal rows; an empty table
 gives no rows; other columns are ignored.
 """
@@ -36,7 +37,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 2000
 MARK = ""
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -275,6 +276,8 @@ class Page:
             features = [*self._names, f"tag:{self._stack[-1][0]}", f"long:{min(int(math.log2(n)), 7)}", f"links:{min(4, -(-4 * linked // n))}", f"end:{words[-1][-1] in '.!?:'}"]
             if not self._articles:
                 features.append("no article")
+            if "\xa9" in words[0] or any(w.lower() == "copyright" for w in words[:3]):
+                features.append("copyright")
             self.tokens.append(len(self.blocks))
             self.blocks.append((" ".join(words), n, features))
         self._text, self._linked, self._pending = [], [], []
@@ -305,15 +308,39 @@ def word_score(features: list[str], weights: dict[str, float]) -> float:
     return score if score > 0 else OUTSIDE * score
 
 
-def extract(source: str | None, weights: dict[str, float]) -> str:
-    page = Page(source or "", weights)
-    each = [word_score(f, weights) for _, _, f in page.blocks]
+#: Features of a block's own words; the others say where it stands.
+OWN = ("long:", "links:", "end:")
+FURNITURE = frozenset("in:nav in:footer in:aside in:menu in:dialog copyright".split())
+
+
+def plain_score(features: list[str], weights: dict[str, float]) -> float:
+    """The score of one word of a block on a page where nothing scores positive: sentences speak for
+    the text, links and what furniture is called against it. Other elements don't count."""
+    around = sum(min(0.0, weights.get(f, 0.0)) for f in features if f.startswith(("name:", "first:", "last:", "role:")) or f in FURNITURE)
+    sentence = "links:0" in features and ("end:True" in features or any(f"long:{n}" in features for n in (3, 4, 5, 6, 7)))
+    return 1.0 if sentence and around > -1 else -OUTSIDE
+
+
+def chosen(page: Page, each: list[float], weights: dict[str, float]) -> list[int]:
+    """The blocks of the best run whose own words score positive, and between or beside those the
+    ones without links that stand in the same place, such as the short items of a list."""
     scores = [weights.get(f"<{t}", weights["<"]) if isinstance(t, str) else each[t] * page.blocks[t][1] for t in page.tokens]
     start, end = best_run(scores)
-    return " ".join(page.blocks[t][0] for t in page.tokens[start:end] if not isinstance(t, str) and each[t] > 0)
+    run = [t for t in page.tokens[start:end] if not isinstance(t, str)]
+    place = [tuple(f for f in page.blocks[t][2] if not f.startswith(OWN)) for t in run]
+    good = [each[t] > 0 for t in run]
+    like = lambda i, j: 0 <= j < len(run) and good[j] and place[i] == place[j]
+    return [t for i, t in enumerate(run) if good[i] or "links:0" in page.blocks[t][2] and (like(i, i - 1) or like(i, i + 1))]
+
+
+def extract(source: str | None, weights: dict[str, float]) -> str:
+    page = Page(source or "", weights)
+    found = chosen(page, [word_score(f, weights) for _, _, f in page.blocks], weights)
+    found = found or chosen(page, [plain_score(f, weights) for _, _, f in page.blocks], weights)
+    return " ".join(page.blocks[t][0] for t in found)
 
 
-def fit(pages: Iterable[str], steps: int = 300, rate: float = 0.3, l2: float = 2e-5) -> dict[str, float]:
+def fit(pages: Iterable[str], steps: int = 500, rate: float = 0.5, l2: float = 1e-5) -> dict[str, float]:
     """Weights from labelled pages, in which the words of the main text begin with MARK: those
     of features by gradient steps on the logistic loss of blocks, those of tags by counts
     within and outside the main text, below zero."""
@@ -372,7 +399,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
     def around(*like: str) -> str:
         """A class or id attribute of something around the text."""
         base = rng.choice(like or AROUND)
-        name = rng.choice([base, base, f"{rng.choice(['site', 'page', 'main', 'top', 'post', 'entry', 'js', 'c'])}-{base}", f"{base}-{rng.choice(['list', 'box', 'area', 'wrapper', 'inner', 'section', 'block', 'item', 'container', 'slot', 'bar'])}", f"{base}_{rng.randint(1, 9)}", f"{word()} {base}"])
+        name = rng.choice([base, base, f"{rng.choice(['site', 'page', 'main', 'top', 'post', 'entry', 'js', 'c'])}-{base}", f"{base}-{rng.choice(['list', 'box', 'area', 'wrapper', 'inner', 'section', 'block', 'item', 'container', 'slot', 'bar', 'links', 'posts', 'form', 'widget'])}", f"{base}_{rng.randint(1, 9)}", f"{word()} {base}"])
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
     def holding() -> str:
@@ -384,6 +411,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         text = main(rng.choice([rng.randint(2, 12), rng.randint(8, 90)]))
         if chance(0.3):
             text += f" <a href='/x'>{some(3, MARK)}</a> <b>{main(2)}</b>"
+        if manner:
+            return manner(text)
         kind = rng.random()
         if kind < 0.8:
             return f"<p{holding() if chance(0.05) else ''}>{text}</p>"
@@ -399,8 +428,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
 
     def intruder(named: bool) -> str:
         """Something that stands within the text without being of it."""
-        body = rng.choice([says(rng.randint(1, 20)), f"<p>{says(rng.randint(3, 25))}</p>", f"<ul>{links(3)}</ul>", f"<a href=/s>{some(2)}</a>"])
-        return f"<div{around()}>{body}</div>" if named and chance(0.75) else rng.choice([f"<aside>{body}</aside>", f"<nav>{body}</nav>", f"<form>{body}</form>", f"<footer>{body}</footer>"])
+        body = rng.choice([says(rng.randint(1, 20)), f"<p>{says(rng.randint(3, 25))}</p>", f"<ul>{links(3)}</ul>", f"<a href=/s>{some(2)}</a>", f"<h3>{some(2)}</h3><ul>{links(rng.randint(2, 4))}</ul>", f"<p>{says(8)}</p><form><input name=m><button>{word()}</button></form>"])
+        tag = rng.choice(["div", "div", "section"])
+        return f"<{tag}{around(*(('ad', 'ads', 'advert', 'sponsored', 'promo', 'related', 'share', 'newsletter') if chance(0.5) else ()))}>{body}</{tag}>" if named and chance(0.75) else rng.choice([f"<aside>{body}</aside>", f"<nav>{body}</nav>", f"<form>{body}</form>", f"<footer>{body}</footer>"])
 
     def reader(tag: str) -> str:
         name = f' class="{rng.choice(["comment", "comment-body", "reply", word()])}"' if chance(0.6) else ""
@@ -411,9 +441,16 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         inner = f"<h3>{some(rng.randint(1, 3))}</h3>" + "".join(reader(tag) for _ in range(rng.randint(1, 6)))
         return f"<{rng.choice(['section', 'div'])}{around('comments', 'comment', 'disqus', 'discussion', 'replies', 'respond', 'responses')}>{inner}</section></div>"
 
+    #: How a site without paragraphs writes its text.
+    manners = [
+        lambda t: f"<div>{t}</div>", lambda t: f"<div><span>{t}</span></div>", lambda t: f'<div class="{word()}">{t}</div>', lambda t: f"<div><div>{t}</div></div>", lambda t: f"{t}<br><br>", lambda t: f"<section>{t}</section>",
+        lambda t: f"<tr><td>{t}</td></tr>", lambda t: f"<center>{t}</center>",
+    ]
+    manner = None
     for _ in range(n):
         layout = rng.randrange(5)
         named = layout != 4
+        manner = rng.choice(manners) if chance(0.3) else None
         parts = [f"<h1>{some(rng.randint(1, 9), MARK)}</h1>"] + [paragraph() if chance(0.8) else rich() for _ in range(rng.randint(1, 14))]
         if layout < 4:
             for _ in range(rng.choice([0, 0, 1, 2])):
@@ -425,6 +462,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         inside = bool(talk) and chance(0.3)
         body += talk if inside else ""
         holder = (f"<article{holding() if chance(0.4) else ''}>{body}</article>", f"<div{holding()}>{body}</div>", f"<main{holding() if chance(0.3) else ''}>{body}</main>", f"<div{holding()}><article>{body}</article></div>", f"<div>{body}</div>")[layout]
+        if manner is manners[6]:
+            holder = f"<table>{holder}</table>" if chance(0.5) else f"<table><tr><td>{holder}</td></tr></table>"
         nav = rng.choice([f"<nav><ul>{links(6)}</ul></nav>", f"<div{around('nav', 'menu', 'navbar', 'navigation', 'menubar') if named else ''}><ul>{links(6)}</ul></div>"])
         extra = [
             f"<div{around('ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'banner')}>{says(rng.randint(2, 30))}</div>", f"<aside><h3>{some(2)}</h3><ul>{links(4)}</ul><p>{says(12)}</p></aside>",
@@ -432,11 +471,16 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
             f'<div role="{rng.choice(["navigation", "banner", "complementary", "contentinfo", "search", "dialog", "alert", "form"])}">{says(9)}</div>',
         ] if named else [f"<div><ul>{links(5)}</ul></div>"]
         extra = rng.sample(extra, rng.randint(1, min(3, len(extra))))
-        foot = rng.choice([f"<footer>&copy; {says(rng.randint(2, 20))}</footer>", f"<div{around('footer', 'foot', 'copyright', 'legal', 'colophon')}>{says(8)}<ul>{links(3)}</ul></div>" if named else f"<footer>{says(6)}</footer>"])
+        foot = rng.choice([f"<footer>&copy; {says(rng.randint(2, 20))}</footer>", f"<div{around('footer', 'foot', 'copyright', 'legal', 'colophon')}>{says(8)}<ul>{links(3)}</ul></div>" if named else f"<footer>{says(6)}</footer>", *[f"<{rng.choice(['div', 'p', 'center'])}>{rng.choice(['&copy;', 'Copyright', 'Copyright &copy;'])} {some(rng.randint(1, 5))}</div>"] * 2])
         cut = rng.randint(0, len(extra))
         head = f"<head><title>{some(5)}</title></head>" if chance(0.8) else f"<title>{some(5)}</title>"
         top = rng.choice(["", f"<header><p>{some(3)}</p></header>", f"<div{around('header', 'masthead', 'topbar')}>{some(2)}</div>" if named else ""])
-        yield f"<html>{head}<body>{top}{nav}{''.join(extra[:cut])}{holder}{'' if inside else talk}{''.join(extra[cut:])}{foot}</body></html>"
+        whole = f"{top}{nav}{''.join(extra[:cut])}{holder}{'' if inside else talk}{''.join(extra[cut:])}{foot}"
+        if chance(0.12):  # sites that put the whole page into one form
+            whole = f'<form{rng.choice(["", " id=form1", " method=post"])}>{whole}</form>'
+        elif chance(0.05):  # old sites: a row of a table for each part
+            whole = f"<table><tr><td colspan=2>{top}{nav}</td></tr><tr><td><a href=/a>{word()}</a> | <a href=/b>{word()}</a> | <a href=/c>{some(2)}</a></td><td>{holder}</td></tr><tr><td>{foot}</td></tr></table>"
+        yield f"<html>{head}<body>{whole}</body></html>"
 
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
