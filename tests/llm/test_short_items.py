@@ -3,10 +3,14 @@
 from itertools import combinations
 from math import ceil
 
+import pytest
+
 from trackloom.llm import decontaminate
 
 
-def test_short_items_are_found_with_all_allowed_substitutions(spark):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+def test_short_items_are_found_with_all_allowed_substitutions(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     items = {n: [f"q{n}x{k}" for k in range(n)] for n in (1, 3, 7, 8, 9, 10, 11, 12)}
     docs, want = [], set()
     for n, words in items.items():

@@ -32,8 +32,10 @@ WINDOW = 13
 SHARE = 0.8
 #: Items of fewer words are found by segments, as the masks don't meet all their substitutions.
 SHORT = 12
-#: Rows of three longs that may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
+#: What may be broadcast, in bytes by measured rows; beyond, the join shuffles.
+BROADCAST_BYTES = 10_000_000
+#: A row of three longs.
+NARROW = 24
 
 
 def tokens(text: Column) -> Column:
@@ -59,9 +61,10 @@ def _gram(w: Column, at: Column, n: int) -> Column:
     return F.when(at + n <= F.size(w), F.xxhash64(F.lit(len(MASKS) + n), *[F.get(w, at + o) for o in range(n)]))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if its rows were counted and are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """The frame, to be broadcast if its rows of ``width`` bytes were summed up and are few."""
+    total = df.agg(F.sum(F.lit(NARROW) if width is None else width)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -85,7 +88,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = seen.join(_small(known), "h").select("id", "item", (F.col("here") - F.col("at")).alias("shift")).distinct()
     hits = written(hits, "hits").withColumnRenamed("id", "hit")
     both = given.join(_small(hits), F.col("id").eqNullSafe(F.col("hit")))
-    both = both.join(_small(items), "item")
+    wide = F.aggregate("t", F.lit(NARROW).cast("long"), lambda n, x: n + 16 + F.octet_length(x))
+    both = both.join(_small(items, wide), "item")
 
     def best(t: Column, w: Column, shift: Column) -> Column:
         k = F.least(F.lit(WINDOW), F.size(t))
