@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from trackloom.llm import near_copies
+from trackloom.llm import near_copies, simhash_dedup
 
 
 def shingles(text):
@@ -33,6 +33,7 @@ def expected(texts):
 @pytest.mark.parametrize("few, block", [(12, 1024), (2, 5), (0, 1)])
 def test_every_pair_of_four_fifths_is_linked(spark, monkeypatch, few, block):
     monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK_LONGS", 1 << 20 if few else 16)
     monkeypatch.setattr(near_copies, "BLOCK", block)
     monkeypatch.setattr(near_copies, "DEAL", 40 if few else 400)  # the first two deal keys out
     rng = random.Random(8)
@@ -80,3 +81,18 @@ def test_bitmaps_never_differ_more_than_sets(spark):
     for r in folded.collect():
         flips = sum(((a ^ b) % (1 << 64)).bit_count() for a, b in zip(r["x"], r["y"], strict=True))
         assert flips <= r["most"] and (r["most"] - flips) % 2 == 0
+
+
+@pytest.mark.parametrize("find", [near_copies.near_copies, simhash_dedup.near_duplicates])
+def test_other_texts_of_an_id_stay(spark, find):
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(80))
+    one, two, three = text(), text(), text()
+    rows = [(1, one), (1, two), (1, one), (2, one + " more"), (2, three), (3, two), (None, one), (None, one)]
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), find=near_copies.near_copies if find is near_copies.near_copies else find).collect()
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in got)
+    assert kept[:2] == [(0, one), (0, one)]
+    texts = {t for _, t in kept}
+    assert {one, two, three} <= texts and (1, one) in kept and (1, two) in kept and (2, three) in kept and (3, two) not in kept
+    if find is near_copies.near_copies:
+        assert len(kept) == 5

@@ -147,11 +147,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
     """One row of each component that ``find`` gives, that of the least id, with its columns as
-    they were. Rows that repeat an id count as copies; rows without an id belong to no group
-    and stay."""
-    key, rank = free_name(docs, "kept_id", "rank")
-    groups = find(docs, id_col, text_col)
-    kept = groups.where("id = component").select(F.col("id").alias(key)).distinct()
-    named = docs.join(kept, docs[id_col] == kept[key], "semi")
-    first = named.withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))).where(F.col(rank) == 1).drop(rank)
+    they were. A row is known by its id and its text, so other texts of an id that are no copies
+    stay; rows that repeat both count as copies; rows without an id belong to no group and stay."""
+    key, kept_key, rank = free_name(docs, "key", "kept_key", "rank")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    groups = find(named, key, text_col)
+    kept = groups.where("id = component").select(F.col("id").alias(kept_key)).distinct()
+    found = named.join(kept, F.col(key) == F.col(kept_key), "semi")
+    first = found.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank, key)
     return first.unionByName(docs.where(F.col(id_col).isNull()))
