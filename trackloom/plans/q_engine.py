@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.engine import Engine
+from trackloom.operators import growing_index as gi
 from trackloom.operators import indexing as ix
 from trackloom.plans.catalog import OBS, VISITS, query, table
 from trackloom.plans.q_geometry import obs
+from trackloom.storage import fresh_path
 
 _V = f"WITH {VISITS}"
 _NAMES = "coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '')"
@@ -88,6 +90,16 @@ def pending_index(spark, sf):
     return ix.pending(engine(spark, sf).visits, table(spark, sf, "embeddings")).select("best_event", "us_end")
 
 
+@query("sem04_filled_index")
+def filled_index(spark, sf):
+    """The embeddings indexed in four steps, and the ten nearest rows that the index gives."""
+    e = table(spark, sf, "embeddings")
+    root = fresh_path(spark, "index")
+    for step in range(4):
+        gi.add(e.where(F.pmod(F.xxhash64("vec_id"), F.lit(4)) == step), root)
+    return gi.search(e.where("vec_id % 20 = 0"), root, 10).select("query", "id", "rank", F.round("sim", 6).alias("sim"))
+
+
 @query("sem06_live_search", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0), n AS (SELECT q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, e.v) DESC, e.vec_id) AS rank FROM q, e) SELECT query, id, rank FROM n WHERE rank <= 12")
 def live_search(spark, sf):
     e = table(spark, sf, "embeddings")
