@@ -34,6 +34,7 @@ PLAIN = {
     "jn23_optimal_assignment agg14_idf1 ml01_learned_fusion trk03_iou_tracker trk04_sort_tracker trk07_duplicate_suppression win09_stable_crossing",
     "test_merging": "idn10_merge_log idn11_canonical_view idn15_mapper_pass idn16_churn_repair idn35_named_requests",
     "test_growing_index": "sem04_filled_index",
+    "test_bonds": "idn43_49_bonds",
     "test_rules": "str13_rules_by_version",
     "test_trackers": "agg18_flicker trk01_centroid_tracker trk02_tracker_stage trk05_two_stage_tracker trk06_appearance_tracker",
     "test_vector_index": "jn18_indexed_recall",
