@@ -16,12 +16,6 @@ def normalise_plate(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", sc.normalise_plate(F.concat("c_name", F.lit("-x.9"))).alias("plate"))
 
 
-@query("fn02_safe_names", "SELECT * FROM (VALUES (1, 'a_b_c.d', 'a_b_c_d'), (2, 'unnamed', 'item'), (3, 'é x', 'é_x'), (4, 'unnamed', 'item')) t(id, name, item)")
-def safe_names(spark, sf):
-    rows = spark.createDataFrame([(1, " a/b:c.d. "), (2, "..."), (3, "é x"), (4, None)], "id int, raw string")
-    return rows.select("id", sc.safe_name(F.col("raw")).alias("name"), sc.safe_item(F.col("raw")).alias("item"))
-
-
 @query("fn03_source_names", "SELECT * FROM (VALUES ('cam-00000001', 'gate'), ('cam-00000002', 'gate_00000002'), ('cam-3', 'cam-3'), ('cam-00000004', 'a_b')) t(camera_id, name)")
 def source_names(spark, sf):
     rows = spark.createDataFrame([(1, "cam-00000001", "gate"), (2, "cam-00000002", "gate "), (3, "cam-3", None), (4, "cam-00000004", "a // b")], "i int, camera_id string, name string")
@@ -30,69 +24,17 @@ def source_names(spark, sf):
     return named.withColumn("k", k).select("camera_id", F.when(F.col("k") == 1, F.col("n")).otherwise(F.concat("n", F.lit("_"), F.right("camera_id", F.lit(8)))).alias("name"))
 
 
-@query("fn04_06_parsing", "SELECT * FROM (VALUES (1, true, 12.0::DOUBLE, 'x'), (2, true, NULL, NULL), (3, false, NULL, 'y'), (4, false, 0.5, NULL)) t(id, flag, num, txt)")
-def parsing(spark, sf):
-    rows = spark.createDataFrame([(1, " YES ", "12", "x"), (2, "1", "-3", ""), (3, "no", "abc", "y"), (4, None, "0.5", None)], "id int, a string, b string, c string")
-    return rows.select("id", sc.truthy(F.col("a")).alias("flag"), sc.positive(F.col("b")).alias("num"), sc.optional(F.col("c")).alias("txt"))
-
-
 @query("fn08_compact_json", "SELECT event_id, '{\"user\":' || user_id || ',\"k\":' || json_extract_string(props, '$.k') || '}' AS payload FROM events")
 def compact_json(spark, sf):
     return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("int").alias("k"))).alias("payload"))
 
 
-@query("fn09_time_bucket", "SELECT * FROM (VALUES (1, '10.2'), (2, '10.4'), (3, '0.0'), (4, '')) t(id, bucket)")
-def time_bucket(spark, sf):
-    rows = spark.createDataFrame([(1, 10.25), (2, 10.35), (3, 0.04), (4, None)], "id int, t double")
-    return rows.select("id", sc.time_bucket(F.col("t").cast("decimal(20,6)")).alias("bucket"))
-
-
 @query("fn10_snk12_app_of_event", "SELECT event_id, CASE event_type WHEN 'click' THEN 'intrusion_app' WHEN 'view' THEN 'counting_app' ELSE event_type END AS app_id FROM events")
 def app_of_event(spark, sf):
     apps = F.create_map(F.lit("click"), F.lit("intrusion_app"), F.lit("view"), F.lit("counting_app"))
     return table(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(apps, F.col("event_type")), "event_type", F.lit("analytics")).alias("app_id"))
 
 
-@query("fn11_snapshot_refs", "SELECT * FROM (VALUES (1, 'crops/a.png', 'image/png'), (2, 'b.jpg', 'image/jpeg'), (3, 'c/d', 'image/jpeg')) t(id, ref, kind)")
-def snapshot_refs(spark, sf):
-    rows = spark.createDataFrame([(1, "/srv/state/p1/crops/a.png"), (2, "/tmp/x/b.jpg"), (3, "c/d")], "id int, p string")
-    return rows.select("id", sc.relative_ref(F.col("p"), "p1").alias("ref"), sc.image_type(F.col("p")).alias("kind"))
-
-
-@query("fn13_source_type", "SELECT * FROM (VALUES (1, 'rtsp'), (2, 'http'), (3, 'file')) t(id, kind)")
-def source_type(spark, sf):
-    return spark.createDataFrame([(1, "rtsps://a"), (2, "http://b"), (3, "/c.mp4")], "id int, u string").select("id", sc.source_type(F.col("u")).alias("kind"))
-
-
-@query("fn14_15_event_details", "SELECT * FROM (VALUES (1, 'side_a', 'side_b', '{\"line\":\"gate\",\"count\":3}'), (2, NULL, NULL, NULL)) t(id, origin, target, details)")
-def event_details(spark, sf):
-    rows = spark.createDataFrame([(1, "side_a_to_side_b", "gate", 3), (2, None, None, None)], "id int, direction string, line string, count int")
-    d = F.split("direction", "_to_", 2)
-    text = F.to_json(F.struct("line", "count"))
-    return rows.select("id", F.get(d, 0).alias("origin"), F.get(d, 1).alias("target"), F.when(text != "{}", text).alias("details"))
-
-
-@query("fn16_tracked_objects", "SELECT * FROM (VALUES (1, 'AB1'), (2, NULL)) t(track, plate)")
-def tracked_objects(spark, sf):
-    cars = spark.createDataFrame([(1, "car"), (2, "bus")], "track int, kind string")
-    reads = spark.createDataFrame([(1, "AB1")], "parent int, plate string")
-    return cars.join(reads, cars.track == reads.parent, "left").select("track", "plate")
-
-
-@query("fn24_25_fusion_rules", "SELECT * FROM (VALUES (1, 0.0::DOUBLE, 0.2::DOUBLE), (2, 0.55, 0.25), (3, 0.45, 0.3)) t(id, face_weight, thr)")
-def fusion_rules(spark, sf):
-    rows = spark.createDataFrame([(1, False, True, False, 5.0), (2, True, True, True, 5.0), (3, True, False, True, 900.0)], "id int, faces boolean, same_camera boolean, modal boolean, gap double")
-    weight = F.when(~F.col("faces"), 0.0).when(F.col("same_camera"), 0.55).otherwise(0.45)
-    thr = F.when(F.col("gap") > 600, 0.3).when(F.col("modal"), 0.25).otherwise(0.2)
-    return rows.select("id", weight.alias("face_weight"), thr.alias("thr"))
-
-
-@query("fn26_display_score", "SELECT * FROM (VALUES (1, 0.9::DOUBLE), (2, 0.5205), (3, 0.2283)) t(id, score)")
-def display_score(spark, sf):
-    rows = spark.createDataFrame([(1, 300.0, 120.0, 0.5), (2, 150.0, 100.0, 0.5), (3, 110.0, 10.0, 0.5)], "id int, h double, w double, q double")
-    return rows.select("id", sc.display_score(F.col("h"), F.col("w"), F.col("q")).alias("score"))
-
-
 @query("fn27_28_crop_quality", f"WITH {BOXES} SELECT event_id, round(least((k * 4) / 200, 1.5) * least((x2 - x1) / 60, 1.5) * quality, 6) AS face, round(0.4 * least(1, (y2 - y1) / 300) + 0.3 * least(1, k / 50) + 0.3 * quality, 6) AS body FROM b")
 def crop_quality(spark, sf):
     face = sc.face_quality(F.col("k") * 4, F.col("x2") - F.col("x1"), F.col("quality"))
@@ -124,24 +66,6 @@ def capacity(spark, sf):
     return got.select("edge", "score", (F.col("score") > F.greatest(F.lit(30.0), F.col("cores") * 4 * 1.0)).alias("over"))
 
 
-@query("fn36_scope", "SELECT * FROM (VALUES (1, 'all'), (2, 'a,c')) t(id, scope)")
-def scope(spark, sf):
-    rows = spark.createDataFrame([(1, ["c", "a", "b"]), (2, ["c", "a"])], "id int, cams array<string>")
-    return rows.select("id", F.when(F.size("cams") == 3, "all").otherwise(F.array_join(F.sort_array("cams"), ",")).alias("scope"))
-
-
-@query("fn37_fresh_identity", "SELECT * FROM (VALUES (1, true, 0.123::DOUBLE), (2, false, 0.5)) t(id, fresh, dist)")
-def fresh(spark, sf):
-    rows = spark.createDataFrame([(1, 10.0, 10.25, 0.8766), (2, 10.0, 10.26, 0.5)], "id int, t double, verified double, confidence double")
-    return rows.select("id", (F.abs(F.col("verified") - F.col("t")) <= 0.25).alias("fresh"), F.round(1 - F.col("confidence"), 3).alias("dist"))
-
-
-@query("snk13_snapshot_precedence", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(id, ref)")
-def snapshot_precedence(spark, sf):
-    rows = spark.createDataFrame([(1, '{"snapshot_ref":"a","payload":{"crop":"z"}}'), (2, '{"payload":{"crop":"b"}}'), (3, "not json")], "id int, e string")
-    return rows.select("id", sc.snapshot_ref(F.col("e")).alias("ref"))
-
-
 _READS = [("c", 1, t, 0.9, i, 100.0) for i, t in enumerate(["ka01ab1234", "KA 01 AB 1234", "KA01AB1284", "KA01AB1234", "MH02CD5678"])] + [("c", 2, "KA01AB1234", 0.3, 1, 100.0)] + [("c", 3, t, 0.8, i, 0.0) for i, t in enumerate(["22BH1234A"] * 3)]
 
 

@@ -74,12 +74,6 @@ def clip_box(spark, sf):
     return c.select("event_id", *[r6(F.col(f"c.{k}"), k) for k in ("x1", "y1", "x2", "y2")])
 
 
-@query("prj05_shift", "SELECT * FROM (VALUES (1, 15.0::DOUBLE, 27.0::DOUBLE, 9), (2, 105.0, 207.0, 4)) t(id, x1, y1, parent_id)")
-def shift(spark, sf):
-    rows = spark.createDataFrame([(1, 5.0, 7.0, 9, None, 10.0, 20.0), (2, 5.0, 7.0, 9, 4, 100.0, 200.0)], "id int, x double, y double, parent int, given int, dx double, dy double")
-    return rows.select("id", (F.col("x") + F.col("dx")).alias("x1"), (F.col("y") + F.col("dy")).alias("y1"), F.coalesce("given", "parent").alias("parent_id"))
-
-
 @query("prj06_normalise", f"""WITH {BOXES} SELECT event_id, CASE WHEN k % 10 <> 0 THEN round(x2 / 1920, 6) END AS nx, CASE WHEN k % 10 <> 0 THEN round(y2 / 1080, 6) END AS ny FROM b""")
 def normalise(spark, sf):
     width = F.when(F.col("k") % 10 == 0, F.lit(0.0)).otherwise(F.lit(ob.FRAME_W))
@@ -93,12 +87,6 @@ def scale_geometry(spark, sf):
     return rows.select("id", F.to_json(g.scaled_points(F.col("p"), F.col("fw"), F.col("fh"), F.col("sw"), F.col("sh"))).alias("points"))
 
 
-@query("prj08_geometry_ref", "SELECT * FROM (VALUES (0, 'z9', 'zone_1'), (1, 'zone:[[1,2],[3,4]]', 'zone_2')) t(i, ref, label)")
-def geometry_ref(spark, sf):
-    rows = spark.createDataFrame([(0, "z9", [[1, 2]]), (1, None, [[1, 2], [3, 4]])], "i int, id string, points array<array<int>>")
-    return rows.select("i", F.coalesce("id", F.concat(F.lit("zone:"), F.to_json("points"))).alias("ref"), F.concat(F.lit("zone_"), F.col("i") + 1).alias("label"))
-
-
 @query("prj09_point_in_polygon", f"WITH {OBS} SELECT event_id, camera FROM o WHERE {sql_inside(ZONE)}")
 def point_in_polygon(spark, sf):
     return obs(spark, sf).where(inside()).select("event_id", "camera")
@@ -216,21 +204,6 @@ def zone_tags(spark, sf):
     return obs(spark, sf).select("event_id", F.array_join(tags, ",").alias("zones")).where("zones <> ''")
 
 
-@query("flt05_plate_roi", "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false)) t(id, kept)")
-def plate_roi(spark, sf):
-    rows = spark.createDataFrame([(1, 1.0, 1.0, None), (2, 1.0, 1.0, []), (3, 1.0, 1.0, [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]]), (4, 3.0, 1.0, [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]])], "id int, x double, y double, zones array<array<struct<x:double,y:double>>>")
-    kept = F.when(F.col("zones").isNull(), False).when(F.size("zones") == 0, True).otherwise(F.exists("zones", lambda p: g.in_polygon(F.col("x"), F.col("y"), p)))
-    return rows.select("id", kept.alias("kept"))
-
-
-@query("flt06_face_gates", "SELECT * FROM (VALUES (1, true, true), (2, true, false), (3, false, false), (4, true, false)) t(id, worth, fresh)")
-def face_gates(spark, sf):
-    rows = spark.createDataFrame([(1, 0.7, 60.0, 0.6), (2, None, None, 0.9), (3, 0.7, 20.0, 0.9), (4, 0.7, 60.0, 0.1)], "id int, det double, px double, quality double")
-    enough = (F.col("det") >= 0.6) & (F.col("px") >= 40)
-    absent = F.col("det").isNull() & F.col("px").isNull()
-    return rows.select("id", F.coalesce(enough, absent, F.lit(False)).alias("worth"), F.coalesce(enough & (F.col("quality") >= 0.3), F.lit(False)).alias("fresh"))
-
-
 @query("flt07_body_seed_gate", f"WITH {BOXES} SELECT event_id FROM b WHERE y2 - y1 >= 120 AND (y2 - y1) / (x2 - x1) BETWEEN 1.0 AND 3.5 AND x1 >= 10 AND x2 <= 1910 AND y1 >= 10 AND y2 <= 1070 AND quality >= 0.2")
 def body_seed(spark, sf):
     h, w = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
@@ -243,12 +216,6 @@ def body_continue(spark, sf):
     return boxed(spark, sf).where((h >= 80) & (h / w).between(0.8, 4.5) & (F.col("quality") >= 0.05)).select("event_id")
 
 
-@query("flt10_full_body_index", "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(id, indexable)")
-def full_body(spark, sf):
-    rows = spark.createDataFrame([(1, 180, 100), (2, 119, 60), (3, 180, 101)], "id int, h int, w int")
-    return rows.select("id", ((F.col("h") >= 120) & (F.col("h") / F.col("w") >= 1.8)).alias("indexable"))
-
-
 @query("flt11_alert_strength", "SELECT event_id FROM events WHERE event_type <> 'click' OR coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) <= 45, true)")
 def alert_strength(spark, sf):
     dist = F.get_json_object("props", "$.k").try_cast("double")
@@ -267,12 +234,6 @@ def live_cameras(spark, sf):
     return obs(spark, sf).where(camera.isNull() | F.lit(not live) | camera.isin(live)).select("event_id")
 
 
-@query("flt15_plate_format", "SELECT * FROM (VALUES ('KA01AB1234', true), ('22BH1234A', true), ('KA1234', false), ('ABC', false)) t(plate, ok)")
-def plate_format(spark, sf):
-    rows = spark.createDataFrame([("KA01AB1234",), ("22BH1234A",), ("KA1234",), ("ABC",)], "plate string")
-    return rows.select("plate", F.col("plate").rlike(sc.PLATE).alias("ok"))
-
-
 @query("jn10_observation_zone", f"{_sql_zones('event_id')} SELECT event_id, zone FROM z")
 def observation_zone(spark, sf):
     return obs(spark, sf).select("event_id", F.explode(zn.zone_tags(ZONES, F.col("camera"), F.col("x"), F.col("y"))).alias("zone"))

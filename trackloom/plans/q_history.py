@@ -77,15 +77,6 @@ def gt_assignment(spark, sf):
     return got.select("event_id", "match", F.round("score", 6).alias("score"))
 
 
-@query("jn09_plate_parent", "SELECT * FROM (VALUES (1, 11), (2, 12), (3, NULL)) t(plate, vehicle)")
-def plate_parent(spark, sf):
-    plates = spark.createDataFrame([(1, "c", 1, 4.0, 4.0, 6.0, 6.0), (2, "c", 1, 9.0, 9.0, 11.0, 11.0), (3, "c", 2, 0.0, 0.0, 1.0, 1.0)], "plate int, camera string, frame int, x1 double, y1 double, x2 double, y2 double").alias("p")
-    cars = spark.createDataFrame([(11, "c", 1, 0.0, 0.0, 8.0, 8.0), (12, "c", 1, 0.0, 0.0, 10.0, 10.0)], "vehicle int, camera string, frame int, x1 double, y1 double, x2 double, y2 double").alias("v")
-    x, y = (F.col("p.x1") + F.col("p.x2")) / 2, (F.col("p.y1") + F.col("p.y2")) / 2
-    on = (F.col("p.camera") == F.col("v.camera")) & (F.col("p.frame") == F.col("v.frame")) & x.between(F.col("v.x1"), F.col("v.x2")) & y.between(F.col("v.y1"), F.col("v.y2"))
-    return plates.join(cars, on, "left").groupBy("plate").agg(F.min("vehicle").alias("vehicle"))
-
-
 @query("jn13_same_frame_pairs", f"WITH {OBS}, f AS (SELECT DISTINCT us // {HOUR} AS frame, camera, gid FROM o) SELECT a.frame, a.camera AS ca, b.camera AS cb, a.gid AS ga, b.gid AS gb FROM f a JOIN f b USING (frame) WHERE a.camera < b.camera")
 def same_frame(spark, sf):
     f = ob.frames(obs(spark, sf)).select("frame", "camera", "gid").distinct()
@@ -174,13 +165,6 @@ def audit_faces(spark, sf):
     return f.alias("a").join(f.alias("b"), "gid").where("a.camera < b.camera").groupBy("gid", F.col("a.camera").alias("ca"), F.col("b.camera").alias("cb")).agg(F.round(F.min(1 - dot), 6).alias("dist"))
 
 
-@query("jn25_latest_group", "SELECT * FROM (VALUES (1, 'vip'), (2, NULL)) t(id, grp)")
-def latest_group(spark, sf):
-    seen_ = spark.createDataFrame([(1, "ann"), (2, "bob")], "id int, name string")
-    groups = spark.createDataFrame([("ann", "staff", 1), ("ann", "vip", 2)], "name string, grp string, n int").groupBy("name").agg(F.max_by("grp", "n").alias("grp"))
-    return seen_.join(groups, "name", "left").select("id", "grp")
-
-
 # ---- aggregations over history ----------------------------------------------------------
 
 
@@ -215,14 +199,6 @@ def board(spark, sf):
     return c.groupBy("gid").agg(per.alias("per_camera"), F.sum("n").alias("total"), F.count("*").alias("k")).where("k >= 2").drop("k")
 
 
-@query("agg09_use_case_state", "SELECT * FROM (VALUES ('l1', 3::BIGINT, 'side_a>side_b=2;side_b>side_a=1')) t(line, total, directions)")
-def use_case_state(spark, sf):
-    hits = spark.createDataFrame([("l1", "side_a_to_side_b"), ("l1", "side_a_to_side_b"), ("l1", "side_b_to_side_a")], "line string, direction string")
-    per = hits.groupBy("line", "direction").agg(F.count("*").alias("n")).withColumn("d", F.split("direction", "_to_", 2))
-    text = F.transform(F.sort_array(F.collect_list(F.struct("d", "n"))), lambda s: F.concat(F.array_join(s["d"], ">"), F.lit("="), s["n"]))
-    return per.groupBy("line").agg(F.sum("n").alias("total"), F.array_join(text, ";").alias("directions"))
-
-
 @query("agg29_camera_pairs", f"WITH {OBS}, d AS (SELECT DISTINCT gid, camera FROM o) SELECT a.camera AS ca, b.camera AS cb, count(*) AS n FROM d a JOIN d b USING (gid) WHERE a.camera < b.camera GROUP BY 1, 2 ORDER BY n DESC, ca, cb LIMIT 10")
 def camera_pairs(spark, sf):
     sets = obs(spark, sf).groupBy("gid").agg(F.sort_array(F.collect_set("camera")).alias("c"))
@@ -325,18 +301,6 @@ def camera_sets(spark, sf):
     return a.join(b, "ga").select("ga", "gb", text(F.array_intersect("a", "b")).alias("both"), text(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("differ"))
 
 
-@query("set04_ordered_dedupe", "SELECT * FROM (VALUES (1, 'b,a,c'), (2, '')) t(id, items)")
-def ordered_dedupe(spark, sf):
-    rows = spark.createDataFrame([(1, ["b", "a", "b", "c", "a"]), (2, [])], "id int, v array<string>")
-    return rows.select("id", F.array_join(F.array_distinct("v"), ",").alias("items"))
-
-
-@query("set05_packs_to_stop", "SELECT * FROM (VALUES ('p1'), ('p3')) t(pack)")
-def packs_to_stop(spark, sf):
-    every, wanted = (spark.createDataFrame([(p,) for p in x], "pack string") for x in (["p1", "p2", "p3"], ["p2"]))
-    return every.join(wanted, "pack", "left_anti")
-
-
 @query("set06_retention", f"{_V}, m AS (SELECT max(us_end) AS now FROM v) SELECT gid, camera, us_start FROM v, m WHERE now - us_end <= 864000000000")
 def retention_keep(spark, sf):
     v = seen(spark, sf)

@@ -47,12 +47,6 @@ def person_merge(spark, sf):
     return obs(spark, sf).groupBy(F.floor(F.col("gid") / 2).alias("person")).agg(F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"), F.min_by("event_id", best).alias("best"), F.min_by("name", named).alias("link"))
 
 
-@query("idn06_link_reassign", "SELECT * FROM (VALUES ('p1', 'ann'), ('p2', 'cid')) t(person, name)")
-def link_reassign(spark, sf):
-    rows = spark.createDataFrame([("p1", "ann", 0.8, 1), ("p1", "bob", 0.8, 2), ("p2", "bob", 0.5, 1), ("p2", "cid", 0.6, 2)], "person string, name string, confidence double, n int")
-    return rows.groupBy("person").agg(F.min_by("name", F.struct(-F.col("confidence"), F.col("n"))).alias("name"))
-
-
 @query("idn07_person_prune", f"WITH {OBS}, l AS (SELECT gid, max(us) AS last FROM o GROUP BY gid) SELECT gid FROM l WHERE (SELECT max(us) FROM o) - last <= 172800000000")
 def person_prune(spark, sf):
     last = obs(spark, sf).groupBy("gid").agg(F.max("us").alias("last"))

@@ -133,12 +133,6 @@ def counting(spark, sf):
     return rows.select("event_id", "camera", "direction", so_far("camera").alias("total"), so_far("camera", "direction").alias("direction_count"))
 
 
-@query("win15_plate_events", "SELECT * FROM (VALUES ('c1', 7, 'KA01AB1234'), ('c1', 8, 'KA01AB1234'), ('c2', 7, 'KA01AB1234')) t(camera, parent, plate)")
-def plate_events(spark, sf):
-    rows = spark.createDataFrame([("c1", 7, "KA01AB1234", 1), ("c1", 7, "KA01AB1234", 2), ("c1", 8, "KA01AB1234", 3), ("c2", 7, "KA01AB1234", 4)], "camera string, parent int, plate string, t int")
-    return rows.dropDuplicates(["camera", "parent", "plate"]).select("camera", "parent", "plate")
-
-
 @query("win17_arrivals", f"{VISITS.replace('o AS', 'WITH o AS', 1)}, n AS (SELECT *, lag(us) OVER (PARTITION BY name, camera ORDER BY us, event_id) AS p FROM o WHERE name IS NOT NULL) SELECT event_id, name, camera FROM n WHERE p IS NULL OR (us - p) / 1e6 > 86400")
 def arrivals(spark, sf):
     return sq.arrivals(obs(spark, sf).where("name is not null"), ["name", "camera"], DAY).select("event_id", "name", "camera")
