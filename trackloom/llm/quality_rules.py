@@ -116,6 +116,17 @@ def passes(policy: Policy, rules: tuple[Rule, ...] = RULES, bits: str = "failure
     return F.col(bits).bitwiseAND(F.lit(mask(policy, rules)).cast("long")) == 0
 
 
+def kept_without(policy: Policy, rules: tuple[Rule, ...] = RULES, bits: str = "failure_bits") -> Column:
+    """The bits of those rules of a policy without any one of which it would keep the row: all of them
+    if it keeps it anyway, the one rule that alone rejects it, else none."""
+    mine = F.col(bits).bitwiseAND(F.lit(mask(policy, rules)).cast("long"))
+    out = F.lit(0).cast("long")
+    for r in rules:
+        if r.name in policy.rules:
+            out = out.bitwiseOR(F.when(mine.bitwiseAND(F.lit(~(1 << r.bit)).cast("long")) == 0, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return out
+
+
 def ablations(book: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that the
     policy would keep without it. The ledger is first summed by failure pattern, of which

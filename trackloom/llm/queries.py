@@ -16,7 +16,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = q.ledger(_docs(spark, sf_dir))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~q.passes(q.BASE)).alias("base_failed"), (q.passes(q.BASE) & q.passes(q.STRICT)).alias("kept"), "failure_bits",
+        (~q.passes(q.BASE)).alias("base_failed"), (q.passes(q.BASE) & q.passes(q.STRICT)).alias("kept"), "failure_bits", q.kept_without(q.STRICT).alias("kept_without"),
     )
 
 
@@ -190,6 +190,7 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
         + (CASE WHEN 100 * n_upper > 30 * word_chars THEN 16 ELSE 0 END)
         + (CASE WHEN word_chars > 25 * n_words OR word_chars < 2 * n_words THEN 32 ELSE 0 END) AS bits FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failure_bits FROM f
+       (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failure_bits,
+       (CASE WHEN bits = 0 THEN 63 WHEN bits & (bits - 1) = 0 THEN bits ELSE 0 END)::BIGINT AS kept_without FROM f
 """,
 }
