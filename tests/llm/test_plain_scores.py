@@ -42,6 +42,17 @@ def test_languages(spark, docs):
         assert math.isclose(got[r["doc_id"]]["score"], e[best] / sum(e), rel_tol=1e-6)
 
 
+def test_the_temperature_lies_within_what_is_tried(spark, docs):
+    """Also where all texts are told apart, which without any doubt would drive it to nought."""
+    model = language_id.fit_documents(docs)
+    assert language_id.TEMPERATURES[0] < model.temperature < language_id.TEMPERATURES[-1]
+    apart = [("aaa aaa aaa aa" * (1 + i % 3), "x") for i in range(40)] + [("bbb bb bbb bbb" * (1 + i % 3), "y") for i in range(40)]
+    model = language_id.fit(apart)
+    assert language_id.TEMPERATURES[0] < model.temperature < language_id.TEMPERATURES[-1]
+    sure = model.probabilities(model.word_rows(["aaa"]).sum(axis=0))
+    assert 0.9 < float(sure.max()) < 1
+
+
 def test_one_bounded_text_of_each_id(spark, monkeypatch):
     monkeypatch.setattr(language_id, "TRAIN_CHARS", 10)
     rows = spark.createDataFrame([(1, "b", "y"), (1, "a", "z"), (1, "a", "x"), (2, "x" * 11, "x"), (3, "c", "x"), (None, "d", "x")], "id long, t string, y string")
