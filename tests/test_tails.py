@@ -44,6 +44,19 @@ def test_lines_from_the_present_end(spark, tmp_path):
     assert sorted(read()) == ["replaced 1 longer than before", "replaced 2"]
 
 
+def test_a_file_that_begins_otherwise_is_another(tmp_path):
+    """Even where the new file has the old one's inode."""
+    add(tmp_path / "a.jsonl", "one\ntwo\n")
+    reader = tails.LineReader({"path": str(tmp_path), "start": "begin"})
+    before = reader.latestOffset()
+    add(tmp_path / "a.jsonl", "three\n")
+    read = lambda: [r[2] for p in reader.partitions(before, reader.latestOffset()) for r in reader.read(p)]
+    assert read() == ["three"]
+    with open(tmp_path / "a.jsonl", "r+") as f:
+        f.write("ONE\ntwo\nthree\nfour\n")
+    assert read() == ["ONE", "two", "three", "four"]
+
+
 def test_lines_in_slices_are_read_once(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()

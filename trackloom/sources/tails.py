@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 #: Bytes that a search for the last whole line goes back at a time.
 BACK = 1 << 16
+#: Bytes at the start of a file by which it is known again.
+HEAD = 64
 
 
 def local_path(path: str) -> str:
@@ -50,8 +53,8 @@ class Slice(InputPartition):
 
 
 class LineReader(DataSourceStreamReader):
-    """Offsets are {file: [inode, end]}. A file that is shorter than its offset, or has another
-    inode, was cut or replaced and is read from its start."""
+    """Offsets are {file: [inode, end, checksum of its first bytes]}. A file that is shorter than its
+    offset, has another inode, or begins otherwise, was cut or replaced and is read from its start."""
 
     def __init__(self, options: dict) -> None:
         self.folder = local_path(options["path"])
@@ -61,29 +64,34 @@ class LineReader(DataSourceStreamReader):
             raise ValueError("start must be begin or end")
         self.most = int(options.get("maxbytesperpartition", options.get("maxBytesPerPartition", 64 << 20)))
 
+    def _head(self, name: str, end: int) -> int:
+        with open(os.path.join(self.folder, name), "rb") as f:
+            return zlib.crc32(f.read(min(end, HEAD)))
+
     def _present(self) -> dict[str, list[int]]:
         found = {}
         for name in sorted(os.listdir(self.folder)):
             if fnmatch(name, self.pattern):
                 try:
                     s = os.stat(os.path.join(self.folder, name))
-                    found[name] = [s.st_ino, whole_lines(os.path.join(self.folder, name), s.st_size)]
+                    end = whole_lines(os.path.join(self.folder, name), s.st_size)
+                    found[name] = [s.st_ino, end, self._head(name, end)]
                 except FileNotFoundError:  # gone since it was listed
                     continue
         return found
 
     def initialOffset(self) -> dict:
         present = self._present()
-        return present if self.start == "end" else {name: [inode, 0] for name, (inode, _) in present.items()}
+        return present if self.start == "end" else {name: [inode, 0, 0] for name, (inode, _, _) in present.items()}
 
     def latestOffset(self) -> dict:
         return self._present()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for name, (inode, to) in end.items():
-            known, at = start.get(name, [inode, 0])
-            at = at if known == inode and at <= to else 0
+        for name, (inode, to, _) in end.items():
+            known, at, head = start.get(name, [inode, 0, 0])
+            at = at if known == inode and at <= to and self._head(name, at) == head else 0
             parts += [Slice(name, a, min(a + self.most, to)) for a in range(at, to, self.most)]
         return parts
 
