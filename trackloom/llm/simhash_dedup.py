@@ -150,9 +150,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     they were. A row is known by its id and its text, so other texts of an id that are no copies
     stay; rows that repeat both count as copies; rows without an id belong to no group and stay."""
     key, kept_key, rank = free_name(docs, "key", "kept_key", "rank")
-    named = docs.where(F.col(id_col).isNotNull()).withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
-    groups = find(named, key, text_col)
-    kept = groups.where("id = component").select(F.col("id").alias(kept_key)).distinct()
+    named, rest = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    if named.groupBy(id_col).count().where("count > 1").isEmpty():  # an id is a row: nothing else to tell apart
+        kept = find(named, id_col, text_col).where("id = component").select(F.col("id").alias(kept_key))
+        return named.join(kept, F.col(id_col) == F.col(kept_key), "semi").unionByName(rest)
+    named = named.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    kept = find(named, key, text_col).where("id = component").select(F.col("id").alias(kept_key)).distinct()
     found = named.join(kept, F.col(key) == F.col(kept_key), "semi")
     first = found.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where(F.col(rank) == 1).drop(rank, key)
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    return first.unionByName(rest)
