@@ -96,3 +96,32 @@ def test_other_texts_of_an_id_stay(spark, find):
     assert {one, two, three} <= texts and (1, one) in kept and (1, two) in kept and (2, three) in kept and (3, two) not in kept
     if find is near_copies.near_copies:
         assert len(kept) == 5
+
+
+def test_stage_links_fingerprints_by_the_ring(spark, monkeypatch):
+    """Sets whose fingerprints are within two bits are compared as the ring finds them, and what they
+    link isn't compared again by keys."""
+    rng = random.Random(12)
+    word = lambda: str(rng.randrange(10**6))
+    texts = []
+    for _ in range(6):
+        w = [word() for _ in range(400)]
+        texts += [" ".join([*w[: k + 1], word(), *w[k + 2 :]]) for k in (0, 0, 397, 397)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {}
+    for t in texts:
+        h = near_copies.shingles(t)
+        prints[near_copies.node_of(h)] = simhash_dedup.bits_of(h)
+    nodes = spark.createDataFrame([(n, near_copies._signed(f)) for n, f in prints.items()], "node long, fp long")
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    want = {(min(a for a in prints if near(a, b)), b) for b in prints} - {(b, b) for b in prints}
+    got = {tuple(r) for r in near_copies._within_reach(nodes).collect()}
+    assert len(want) > 5 and {b for _, b in got} == {b for _, b in want} and all(near(a, b) and a < b for a, b in got)
+
+    asked = []
+    ring, closed = near_copies.links, near_copies.components
+    monkeypatch.setattr(near_copies, "links", lambda fps: asked.append(fps.count()) or ring(fps))
+    monkeypatch.setattr(near_copies, "components", lambda edges: asked.append({tuple(r) for r in edges.select("a", "b").collect()}) or closed(edges))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(expected(dict(enumerate(texts))).values()))
+    assert asked[0] == len(set(prints.values())) and asked[1] == got

@@ -54,6 +54,13 @@ def fingerprint_of(text: str | None, size: int = 3) -> int:
     end = np.concatenate((gaps, [len(one)]))[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(one[a:b], 42) for a, b in zip(begin, end)), np.uint64, len(begin))
+    return bits_of(hashes)
+
+
+def bits_of(hashes) -> int:
+    """The fingerprint of an array of unsigned shingle hashes; zero of none."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):  # bounds the bit matrix of a very long text
         counts += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
