@@ -260,3 +260,24 @@ def test_classifiers_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in q) > 0.93 * len(q) > 0
     lang = queries.op10_language_id(spark, sf).join(docs, "doc_id").where("held_out").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in lang) > 0.97 * len(lang) > 0
+
+
+def test_new_pieces_are_encoded_in_short_texts(monkeypatch):
+    """A long joined text costs the tokenizer more for each piece; ids are those of plain calls."""
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    plain, asked = enc.tokenizer, []
+
+    class Spy:
+        encode = plain.encode
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    rng = random.Random(3)
+    rows = [" ".join(rng.choice("aes.é😀") + "".join(rng.choices("aeinrst.é😀\n", k=rng.randint(0, 9))) for _ in range(900)) for _ in range(5)]
+    rows += ["", " ", "  a", "a ", "a \nb", "b", "\nb", "x  y", "<|endoftext|> b", "a \x85", "\x1c b", "a \x1cb"]
+    monkeypatch.setattr(enc, "tokenizer", Spy())
+    for _ in range(2):  # the second time from the cache
+        assert list(enc.encode(rows)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+    assert len(asked) > 20 and max(t.count(" ") for t in asked) <= 100

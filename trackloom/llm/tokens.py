@@ -17,6 +17,8 @@ _WHOLE = re.compile(r" (?:\s|\Z)|<\|")
 RULE = "\ue000"
 CACHE_PIECES = 500_000
 CHUNK_CHARS = 1_000_000
+#: New pieces that are encoded as one text: a long text costs more for each of its pieces.
+JOINED = 100
 
 
 class Encoder:
@@ -27,6 +29,8 @@ class Encoder:
         import os
         import struct
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,7 +40,7 @@ class Encoder:
         self.lead = "" if about.get("normalizer") else " "
         if self.lead:  # each character of a token stands for a byte
             sizes = {i: len(t) for t, i in about["model"]["vocab"].items()}
-            self.sizes = [sizes.get(i, 0) for i in range(max(sizes) + 1)]
+            self.sizes = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
         else:
             self.rule = self.tokenizer.encode(RULE, add_special_tokens=False).ids
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -60,10 +64,10 @@ class Encoder:
             if not self.lead and any(RULE in p for p in part):
                 out += map(self._one, part)
                 continue
-            joined = " " + " ".join(part) if self.lead else f" {RULE} ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            joined = [" " + " ".join(part[i : i + JOINED]) for i in range(0, len(part), JOINED)] if self.lead else [f" {RULE} ".join(part)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
             if self.lead:
-                done = np.cumsum(np.asarray(self.sizes)[ids])
+                done = np.cumsum(self.sizes[ids])
                 ends = np.searchsorted(done, np.cumsum([1 + len(p.encode("utf-8", "surrogatepass")) for p in part])) + 1
                 begins = np.concatenate(([0], ends[:-1]))
             else:
@@ -82,16 +86,20 @@ class Encoder:
         found: list[tuple | None] = []
         new: dict[str, bytes] = {}
         for t in texts:
-            if _WHOLE.search(t):
+            # with a lead, pieces that make a text whole are never known, so they are among the holes
+            if "<|" in t if self.lead else _WHOLE.search(t):
                 found.append(None)
                 continue
             pieces = t.split(" ")
             head = pieces.pop(0) if self.lead else None
             ids = list(map(look, pieces))
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
-            for i in holes:
-                new[pieces[i]] = b""
-            found.append((head, ids, [(i, pieces[i]) for i in holes]))
+            holes = [i for i, x in enumerate(ids) if x is None]
+            fresh = [pieces[i] for i in holes]
+            if self.lead and fresh and _WHOLE.search(" " + " ".join(fresh)):
+                found.append(None)
+                continue
+            new.update(dict.fromkeys(fresh, b""))
+            found.append((head, ids, zip(holes, fresh)))
         fresh = list(new)
         new = dict(zip(fresh, self._many(fresh)))
         for t, own in zip(texts, found):
