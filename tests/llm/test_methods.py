@@ -1,9 +1,11 @@
 """Each operator against a plain version of itself, or its own quality figures."""
 
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -281,3 +283,41 @@ def test_new_pieces_are_encoded_in_short_texts(monkeypatch):
     for _ in range(2):  # the second time from the cache
         assert list(enc.encode(rows)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
     assert len(asked) > 20 and max(t.count(" ") for t in asked) <= 100
+
+
+def test_runs_of_letters_are_encoded_once(monkeypatch):
+    """However a word is written and whatever signs stand beside it; ids are those of plain calls."""
+    enc = Encoder(WORD, cache=3000)
+    plain, asked = enc.tokenizer, []
+
+    class Spy:
+        encode = plain.encode
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("aeinrstléüß", k=9)) for _ in range(400)})
+    forms = ("{0}", "{1}", "{0},", "({1})", "{0}.\n{1}", "{0}###", "3{0}7")
+    rows = [" ".join(f.format(w, w[0].upper() + w[1:]) for w in words) for f in forms]
+    signs = ["a", "É", "ß", "µ", "ª", "º", "÷", "×", "²", "½", "17", "_", "'", "'s", "'LL", "\u2019", "-", "e\u0301", "\u0301", "\u0308", "\u0130", "\u017f", "\u212a", "ΑΣ", "ﬁ", "日", "😀", ""]
+    signs += ["\x1c", "\x85", "\xa0", "\xad", "\0", "\n", "\t", " ", "  ", "a\u0300\u0323", "<", "|", "</w>", "it", "we"]
+    rows += ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(4000)]
+    monkeypatch.setattr(enc, "tokenizer", Spy())
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+    for _ in range(2):  # the second time from the cache
+        assert list(enc.encode(rows[: len(forms)])) == want[: len(forms)]
+        times = Counter(re.findall(r"\w+", " ".join(asked)))
+        assert all(times[w] == 1 for w in words)
+    for _ in range(2):
+        assert list(enc.encode(rows)) == want
+
+
+def test_runs_are_left_to_vocabularies_that_cut_at_them(tmp_path):
+    about = json.loads(Path(WORD).read_text("utf-8"))
+    about["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    (tmp_path / "other.json").write_text(json.dumps(about), "utf-8")
+    enc, rows = Encoder(str(tmp_path / "other.json")), ["Word, word. (word) it's", "two.\nlines", "a  b "]
+    assert enc.last is None and Encoder(WORD).last is not None and Encoder(BPE).last is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(rows)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
