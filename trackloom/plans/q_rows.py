@@ -30,10 +30,10 @@ def geometry_ref(spark, sf):
 
 @query("flt05_plate_roi", f"WITH {OBS} SELECT event_id, CASE k % 4 WHEN 0 THEN false WHEN 1 THEN true ELSE x BETWEEN 0.305 AND 0.605 AND y BETWEEN 0.305 AND 0.605 END AS kept FROM o")
 def plate_roi(spark, sf):
-    """Without zones a plate is dropped, with an empty list of them kept, else it has to lie in one."""
+    """Without zones a plate is dropped, with an empty list of them kept, else it has to lie in one or on its edge."""
     square = g.polygon([(0.305, 0.305), (0.605, 0.305), (0.605, 0.605), (0.305, 0.605)])
     zones = F.when(F.col("k") % 4 == 0, F.lit(None)).when(F.col("k") % 4 == 1, F.array().cast("array<array<struct<x:double,y:double>>>")).otherwise(F.array(square))
-    kept = F.when(F.col("zones").isNull(), False).when(F.size("zones") == 0, True).otherwise(F.exists("zones", lambda p: g.in_polygon(F.col("x"), F.col("y"), p)))
+    kept = F.when(F.col("zones").isNull(), False).when(F.size("zones") == 0, True).otherwise(F.exists("zones", lambda p: g.in_polygon(F.col("x"), F.col("y"), p) | g.on_edge(F.col("x"), F.col("y"), p)))
     return obs(spark, sf).withColumn("zones", zones).select("event_id", kept.alias("kept"))
 
 
