@@ -5,7 +5,9 @@ import datetime
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from trackloom.functions import scalars as sc
 from trackloom.plans import registry
 
 BEGIN = datetime.datetime(2024, 1, 1)
@@ -28,3 +30,11 @@ def test_a_plate_on_the_edge_of_its_region_is_kept(spark, tmp_path):
     values = (30.49, 30.5, 30.51, 60.49, 60.5, 60.51, 160.5)
     got, want = both(spark, tmp_path, "flt05_plate_roi", [(i, i, "view", v, k) for i, (v, k) in enumerate((v, k) for v in values for k in (30, 31, 58, 62))])
     assert got == want and sum(r[1] for r in want) == 10
+
+
+def test_time_buckets_round_the_binary_number(spark, tmp_path):
+    got, want = both(spark, tmp_path, "fn09_time_bucket", [(i * 1_234_567_800_000 + t, i, "view", 1.0, 1) for i in range(2) for t in range(0, 2_000_000, 50_000)])
+    assert got == want
+    seconds = [n / 20 for n in range(-45, 60)] + [1.7e9 + n / 20 for n in range(40)] + [0.15 + 1e-16, 9.95, 9.999, 1e15 + 0.25]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate([*seconds, None])], "i int, s double").select("i", sc.time_bucket(F.col("s")).alias("b"))
+    assert [r["b"] for r in rows.orderBy("i").collect()] == [*(f"{s:.1f}" for s in seconds), ""]

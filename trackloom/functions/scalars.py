@@ -42,7 +42,17 @@ def optional(text: Column) -> Column:
 
 
 def time_bucket(seconds: Column) -> Column:
-    return F.coalesce(F.bround(seconds, 1).cast("string"), F.lit(""))
+    """Seconds with one decimal, rounded as the binary number that they are; empty for null. Halves that it
+    holds exactly, .25 and .75, go to the even tenth."""
+    whole = F.floor(F.abs(seconds))
+    rest = F.abs(seconds) - whole
+    tenth = F.least(F.floor(rest * 10), F.lit(9))
+    half = (2 * tenth + 1) / 20
+    # the doubles next to .05, .45, .55 and .65 lie above them, those next to the other halves below
+    up = (rest > half) | ((rest == half) & tenth.isin(0, 4, 5, 6, 7))
+    tenths = whole * 10 + tenth + up.cast("int")
+    sign = F.when(seconds < 0, "-").otherwise("")
+    return F.coalesce(F.concat(sign, F.floor(tenths / 10).cast("bigint"), F.lit("."), (tenths % 10).cast("bigint")), F.lit(""))
 
 
 def source_type(uri: Column) -> Column:

@@ -77,7 +77,7 @@ def parsing(spark, sf):
 
 @query("fn09_time_bucket", f"WITH {OBS} SELECT event_id, CASE WHEN k % 9 = 0 THEN '' ELSE format('{{:.1f}}', us / 1e6) END AS bucket FROM o")
 def time_bucket(spark, sf):
-    t = F.when(F.col("k") % 9 > 0, (F.col("us") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)"))
+    t = F.when(F.col("k") % 9 > 0, F.col("us") / 1e6)
     return obs(spark, sf).select("event_id", sc.time_bucket(t).alias("bucket"))
 
 
