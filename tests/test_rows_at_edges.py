@@ -50,3 +50,14 @@ def test_paths_that_meet_the_end_of_a_line(spark, tmp_path):
     pairs = [(55.46, 1, 35.44, 34), (65.66, 37, 46.52, 4), (111.76, 2, 54.78, 11), (40.0, 10, 60.0, 10), (40.0, 90, 60.0, 90), (40.0, 9, 60.0, 9), (40.0, 5, 60.0, 15)]
     got, want = both(spark, tmp_path, "win10_direct_crossing", [(2 * i + j, i, "view", v, k) for i, (v, k, w, m) in enumerate(pairs) for j, (v, k) in enumerate(((v, k), (w, m)))])
     assert got == want and 0 < len(want) < 4
+
+
+def test_labels_of_very_many_tracks(spark, tmp_path):
+    s, users = 1_000_000, 4200
+    rows = [(i * s, i, "view", 1.0, 10) for i in range(users)] + [((users + i) * s, i, "view", 1.0, 50) for i in range(0, users, 7)]
+    rows += [(432_000 * s + 3 * s + j, 3 + j, "view", 1.0, 60) for j in (-1, 0, 1)] + [(14 * 86_400 * s, 0, "view", 1.0, 50)]
+    try:
+        got, want = both(spark, tmp_path, "str05_track_labels", rows)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert got == want and sum(r[3] is not None for r in want) > 600
