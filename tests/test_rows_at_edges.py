@@ -61,3 +61,11 @@ def test_labels_of_very_many_tracks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == want and sum(r[3] is not None for r in want) > 600
+
+
+def test_pairs_at_the_very_radius(spark, tmp_path):
+    day = 86_400_000_000
+    places = [(x, k) for x in range(0, 100, 7) for k in (10, 20)] + [(x + 10, k) for x in range(0, 90, 7) for k in (10, 16, 28)] + [(x + 6, k) for x in range(0, 90, 11) for k in (18, 2)]
+    rows = [(d * day + i, i, "view", float(x), k) for d in range(4) for i, (x, k) in enumerate(places)]
+    got, want = both(spark, tmp_path, "win24_confirm_colocation", rows)
+    assert got == want and len(want) > 20
