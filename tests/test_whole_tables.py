@@ -128,3 +128,15 @@ def test_components_of_a_long_chain(spark):
     df = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = idn.connected(df.union(spark.createDataFrame([(1000, 1001), (5, 5)], "a long, b long")))
     assert {r["id"]: r["root"] for r in got.collect()} == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_starts_after_ends(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(2), i, s, s + rng.choice([0, 3, 1_000_000])) for i, s in enumerate(rng.randrange(500) for _ in range(200))] + [(0, -1, None, None)]
+    df = spark.createDataFrame(rows, "camera int, gid long, us_start long, us_end long")
+    for us in (0, 1, 7):
+        got = sorted((r["a"]["gid"], r["b"]["gid"]) for r in jn.begun_within(df, df, ["camera"], us).collect())
+        assert got == sorted((a, b) for c, a, _, e in rows for d, b, s, _ in rows if c == d and e is not None and s is not None and 0 < s - e <= us)
+    # buckets are of the length asked for, however long the rows are: a day of them would be 10^12 / 600 for each row
+    long = spark.range(3000).select(F.lit(1).alias("camera"), F.col("id").alias("gid"), F.col("id").alias("us_start"), (F.col("id") + 10**12).alias("us_end"))
+    assert jn.begun_within(long, long, ["camera"], 600).count() == 0
