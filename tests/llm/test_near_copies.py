@@ -125,3 +125,25 @@ def test_stage_links_fingerprints_by_the_ring(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(expected(dict(enumerate(texts))).values()))
     assert asked[0] == len(set(prints.values())) and asked[1] == got
+
+
+@pytest.mark.parametrize("few", [12, 0])
+def test_sets_of_very_different_sizes_are_linked_at_low_shares(spark, monkeypatch, few):
+    """At two fifths a text is linked to one of two and a half times its shingles, whose bitmap is four
+    times as long."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    rng = random.Random(13)
+    texts = {}
+    for k in range(8):
+        w = [str(rng.randrange(10**6)) for _ in range(2000)]
+        n = 34 + 31 * k
+        texts[3 * k], texts[3 * k + 1], texts[3 * k + 2] = " ".join(w[:n]), " ".join(w[: int((n - 4) * 2.5) + 4]), " ".join(w[: n * 3])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in near_copies.near_copies(docs, share=(2, 5)).collect()}
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for _ in range(3):
+        for a in texts:
+            for b in texts:
+                if 5 * len(sets[a] & sets[b]) >= 2 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == root and sum(root[3 * k + 1] == 3 * k for k in range(8)) == 8
